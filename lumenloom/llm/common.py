@@ -53,3 +53,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; of null none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
+
+
+#: Most rows of fixed width (ids, hashes, counters) that are broadcast; a longer table is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of fixed-width rows as a join side: broadcast up to ``limit`` rows, else as it is."""
+    return F.broadcast(table) if table.count() <= limit else table

@@ -1,15 +1,30 @@
-"""The queries opN_* of the training-data operators, and their DuckDB oracles."""
+"""The queries opN_* of the training-data operators, and their DuckDB oracles.
+
+Each query applies its operator to whole tables and derives the columns of its contract from what the
+operator returns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenloom.llm import dac, packing
+from lumenloom.llm import dac, digests, langid, line_spread, mixing, packing, rule_ledger, secret_scan, simhash, toxicity
 from lumenloom.llm.common import documents
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir)).drop("mixture")
+
+
+def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = rule_ledger.ledger(documents(spark, sf_dir).select("doc_id", "text"))
+    base, newest = rule_ledger.passes(rule_ledger.POLICIES["base"]), rule_ledger.passes(rule_ledger.POLICIES["v2"])
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), newest.alias("kept"), "failures")
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -18,8 +33,44 @@ def op4_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(dac.write_codes(documents(spark, sf_dir), end_id=2))
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.classify(docs, chain)
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.edit_digests(documents(spark, sf_dir))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = said(F.filter("spans", lambda x: x["kind"] != "lexed"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_spread.remove_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return kept.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_vector_packing, op4_direct_codes)}
+    found = (
+        op1_language_mixture, op2_rule_ledger, op3_vector_packing, op4_direct_codes, op5_toxicity_chain,
+        op6_source_mix, op7_simhash_pivots, op8_canonical_digest, op9_secret_scan, op10_line_spread,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
