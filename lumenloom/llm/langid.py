@@ -189,7 +189,33 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>, fits boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language.
+
+    Rejected: what ``predict`` calls ``und`` (null, without a letter) and texts that do not fit their mixture.
+    Where nothing was learned no text can be judged, and all rows stay. Rows do not move between tasks.
+    """
+    if model is None:
+        return docs
+    python_ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for text in batch.column("text").to_pylist():
+                grams = trigrams(text)
+                got = None if grams is None else infer(model, grams)
+                keep.append(got is not None and got.log_likelihood > -got.size * np.log(1 << FEATURE_BITS))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learn(docs: DataFrame) -> Model | None:
+    """Model from the rows of ``docs`` (doc_id, text, lang) that are not held out."""
+    return train(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out, predict all: doc_id, held_out, lang_pred, score, mixture, fits."""
-    model = train(docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))
-    return predict(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "mixture", "fits")
+    return predict(docs, learn(docs)).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "lang_pred", "score", "mixture", "fits")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm import dac, digests, langid, line_spread, mixing, packing, rule_ledger, secret_scan, simhash, toxicity
 from lumenloom.llm.common import documents
+from lumenloom.llm.oracles import ORACLES
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rule_ledger.ledger(documents(spark, sf_dir).select("doc_id", "text"))
-    base, newest = rule_ledger.passes(rule_ledger.POLICIES["base"]), rule_ledger.passes(rule_ledger.POLICIES["v2"])
+    base, newest = rule_ledger.passes(rule_ledger.POLICIES["base"]), rule_ledger.passes(rule_ledger.POLICIES[rule_ledger.PRODUCTION])
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), newest.alias("kept"), "failures")
 
 
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

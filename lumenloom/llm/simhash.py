@@ -160,3 +160,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFr
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(grouped.join(lowest, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each component the row of the least doc_id stays.
+
+    Of several rows of that doc_id the one of the least text stays. Rows without doc_id all stay.
+    """
+    found = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle).where("doc_id = component_id")
+    stay = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "stay")
+    kept = docs.join(stay, "doc_id").select(*docs.columns, "__rows")
+    out = kept.where("__rows = 1").drop("__rows").unionByName(docs.where("doc_id IS NULL"))
+    if stay.where("__rows > 1").isEmpty():
+        return out
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    several = kept.where("__rows > 1").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.col("text").isNotNull(), "text")).alias("row"))
+    return out.unionByName(several.select("row.*"))
