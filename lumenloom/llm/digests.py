@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize, small_side
+from lumenloom.llm.common import BROADCAST_ROWS, materialize, small_side
 
 #: White space of any script (Unicode property), a run of which counts as one space.
 _SPACE = r"(?U)\s+"
@@ -33,15 +33,16 @@ def bucket(form: Column) -> Column:
     return F.concat(wide(F.xxhash64(form)), wide(F.xxhash64(form, F.lit("wide"))))
 
 
-def collisions(forms: DataFrame) -> DataFrame:
-    """bucket, form and k (1, 2 ...) of every form but the first in buckets that hold different forms.
+def collisions(forms: DataFrame) -> DataFrame | None:
+    """bucket, form and k (1, 2 ...) of every form but the first in buckets that hold different forms; None if there is none.
 
     ``forms`` (bucket, form) need only hold the rows of buckets that are not single. Bytes are compared
     through each bucket's least and greatest form, so a hot bucket is reduced before the shuffle.
     """
     mixed = forms.groupBy("bucket").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("bucket")
-    mixed = materialize(mixed, "mixed")
-    apart = forms.join(small_side(mixed), "bucket", "left_semi").select("bucket", "form").distinct()
+    if mixed.isEmpty():
+        return None
+    apart = forms.join(mixed, "bucket", "left_semi").select("bucket", "form").distinct()
     ranked = apart.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("form")) - 1)
     return materialize(ranked.where("k > 0"), "collisions")
 
@@ -60,7 +61,7 @@ def exact_groups(docs: DataFrame, bucket_of=bucket) -> DataFrame:
     named = materialize(hashed.select("doc_id", "bucket"), "buckets")
     shared = materialize(named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
     apart = collisions(hashed.join(small_side(shared), "bucket", "left_semi").select("bucket", "form"))
-    if apart.isEmpty():
+    if apart is None:
         marked = named.withColumnRenamed("bucket", "fingerprint")
     else:
         marked = hashed.join(apart, ["bucket", "form"], "left").select("doc_id", suffixed(F.col("bucket"), F.col("k")).alias("fingerprint"))
@@ -81,14 +82,14 @@ def followers(docs: DataFrame) -> DataFrame:
     along = Window.orderBy("part")
     heads = heads.select("part", F.coalesce(F.lead("head").over(along), F.first("head").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
     within = order.withColumn("next", F.lead("key").over(Window.partitionBy("part").orderBy("key")))
-    found = within.join(heads, "part").select(F.col("key.doc_id").alias("doc_id"), F.coalesce("next", "head")["doc_id"].alias("next_id"), "quarter")
-    return materialize(found, "followers")
+    return within.join(heads, "part").select(F.col("key.doc_id").alias("doc_id"), F.coalesce("next", "head")["doc_id"].alias("next_id"), "quarter")
 
 
 def with_edits(docs: DataFrame, after: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """doc_id, text, next_id and edited (the last floor(n / 4) code points replaced by the next document's first).
 
-    ``after``: from ``followers``. ``only``: doc_ids to restrict the result to. Texts are shuffled once, by
+    ``after``: from ``followers``. ``only``: a written table of distinct doc_ids to restrict the result to;
+    up to ``BROADCAST_ROWS`` of them are broadcast, and their texts do not move. Otherwise texts are shuffled once, by
     doc_id; of the next document only the quarter that is needed moves. Of several rows of the next
     doc_id the least such head is taken.
     """
@@ -96,10 +97,11 @@ def with_edits(docs: DataFrame, after: DataFrame, only: DataFrame | None = None)
     wanted = after.select(F.col("doc_id").alias("to"), F.col("next_id").alias("from"), "quarter")
     mine = texts
     if only is not None:
-        chosen = only.select(F.col("doc_id").alias("chosen"))
-        wanted = materialize(wanted.join(small_side(chosen), F.col("to").eqNullSafe(F.col("chosen")), "left_semi"), "wanted")
-        mine = texts.join(small_side(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-        wanted = small_side(wanted)
+        few = only.count() <= BROADCAST_ROWS
+        hint = F.broadcast if few else lambda x: x
+        chosen = hint(only.select(F.col("doc_id").alias("chosen")))
+        wanted = hint(wanted.join(chosen, F.col("to").eqNullSafe(F.col("chosen")), "left_semi"))  # one row for each of them
+        mine = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     heads = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("from"))).select("to", "from", F.expr("substring(text, 1, CAST(quarter AS INT))").alias("head"))
     heads = heads.groupBy("to", "from").agg(F.min("head").alias("head"))
     n = F.length("text")
@@ -119,14 +121,13 @@ def edit_digests(docs: DataFrame, bucket_of=bucket) -> DataFrame:
     forms = lambda edits: edits.withColumn("form", canonical(F.col("text"))).withColumn("edited_form", canonical(F.col("edited")))
     made = forms(with_edits(docs, after)).select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), bucket_of(F.col("form")).alias("a"), bucket_of(F.col("edited_form")).alias("b"))
     made = materialize(made, "edits")
-    counts = made.select(F.explode(F.array("a", "b")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    shared = materialize(counts.where("n > 1").select("bucket"), "shared")
-    side = small_side(shared)
-    inside = made.select("doc_id", F.explode(F.array("a", "b")).alias("bucket")).join(side, "bucket", "left_semi").select("doc_id").distinct()
-    again = forms(with_edits(docs, after, materialize(inside, "inside")))
+    members = made.select("doc_id", F.explode(F.array("a", "b")).alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    inside = materialize(members.join(shared, "bucket", "left_semi").select("doc_id").distinct(), "inside")
+    again = forms(with_edits(docs, after, inside))
     pairs = again.select("doc_id", F.explode(F.array("form", "edited_form")).alias("form")).withColumn("bucket", bucket_of(F.col("form")))
-    apart = collisions(pairs.join(side, "bucket", "left_semi").select("bucket", "form"))
-    if apart.isEmpty():
+    apart = collisions(pairs.select("bucket", "form"))
+    if apart is None:
         named = made.withColumnRenamed("a", "fingerprint").withColumnRenamed("b", "edited_fingerprint")
     else:
         full = forms(with_edits(docs, after))
