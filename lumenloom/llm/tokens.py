@@ -1,30 +1,32 @@
 """Token ids of whole texts, by the ``tokenizers`` library, with every distinct piece encoded once.
 
-A byte-level BPE cuts a text into pre-tokens before it merges bytes. No pre-token spans a single
-space or a single newline that stands between other characters, so such a text can be encoded piece
-by piece and the ids joined; a piece that was seen before costs one look-up. Any other text (runs of
-white space, white space at an end, tabs and the like) is encoded whole.
+A byte-level BPE cuts a text into pre-tokens before it merges bytes. A pre-token begins at every lone
+space and newline, and of a run of white space the last character stands apart; so a text is cut before
+each space and newline, its pieces are encoded and the ids joined, and a piece that was seen before costs
+one look-up. Where that would cut inside one pre-token (a run of three, of two at an end, or white space of
+another kind) the text is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Distinct pieces a worker keeps; the memory of a worker is bounded by it.
 MAX_PIECES = 700_000
-#: White space that is not one lone space or newline between two other characters.
-_WHOLE = re.compile(r"^\s|\s$|\s\s|[^\S \n]|[\x1c-\x1f]")
 #: Longer pieces are encoded but not kept.
 _KEEP_CHARS = 64
+_THREE = re.compile(r"\s\s\s")
+_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """Encodes lists of texts to ``bytes`` of little-endian ids (``dtype``)."""
+    """Encodes lists of texts to arrays of ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,40 +34,53 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype(f"u{array(self.code).itemsize}")
         self.newline = self._encode(["\n"])[0]
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode(self, raw: list[str]) -> list[bytes]:
         found: list[bytes] = []
         for i in range(0, len(raw), 2000):
             got = self.tokenizer.encode_batch_fast(raw[i : i + 2000], add_special_tokens=False)
-            found += [np.array(x.ids, self.dtype).tobytes() for x in got]
+            found += [array(self.code, x.ids).tobytes() for x in got]
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; of null none."""
-        out: list[bytes | None] = [None] * len(texts)
+        out = [b""] * len(texts)
         cut: dict[int, list[str]] = {}
         whole: list[int] = []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = b""
-            elif _WHOLE.search(text):
+                continue
+            if text[:2].isspace() or text[-2:].isspace():
+                whole.append(i)
+                continue
+            # the first word follows a made-up newline, whose id is dropped in the end
+            parts = ("\n" + text).replace("\n", " \n").split(" ")
+            del parts[0]
+            if parts.count("") + parts.count("\n") > 1 and _THREE.search(text):
                 whole.append(i)
             else:
-                # "\nab" stands for itself, "ab" for " ab"; the text's first word follows a made-up newline
-                cut[i] = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+                cut[i] = parts
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces = {}
+        missing = {x for x in set().union(*cut.values()) if x not in self.pieces}
+        if other := {x for x in missing if _OTHER_SPACE.search(x)}:
+            for i in [i for i, parts in cut.items() if not other.isdisjoint(parts)]:
+                whole.append(i)
+                del cut[i]
+            missing -= other
+        # "\nab" stands for itself, "ab" for " ab"
+        new = list(missing)
+        self.pieces.update(zip(new, self._encode([x if x[:1] == "\n" else " " + x for x in new]), strict=True))
         for i, got in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = got
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces = {"": b""}
-        missing = [x for x in set().union(*cut.values()) if x not in self.pieces]
-        self.pieces.update(zip(missing, self._encode([x if x[0] == "\n" else " " + x for x in missing]), strict=True))
         known, skip = self.pieces.__getitem__, len(self.newline)
         for i, parts in cut.items():
             out[i] = b"".join(map(known, parts))[skip:]
-        for x in missing:
+        for x in new:
             if len(x) > _KEEP_CHARS:
                 del self.pieces[x]
         return [np.frombuffer(x, self.dtype) for x in out]
