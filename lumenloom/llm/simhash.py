@@ -109,8 +109,7 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """a, b: links that connect exactly the fingerprints (``fp``, distinct) within two bits of each other, transitively."""
     python_ready(distinct.sparkSession)
     keyed = distinct.select("fp", distance_table(F.col("fp")).alias("table")).select("fp", F.explode(F.array(*group_keys(F.col("table")))).alias("key"))
-    keyed = materialize(keyed, "pivot-keys")
-    counts = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pivot-counts")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     usual = keyed.join(counts.where(F.col("n") <= hot).select("key"), "key", "left_semi")
     buckets = usual.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     found = buckets.mapInArrow(_compare, "a long, b long")
@@ -127,22 +126,23 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) for every node of ``edges`` (a, b: long).
 
-    Alternates large-star and small-star steps, each written to the shared folder, until nothing changes;
-    neighbourhoods are reduced by aggregation and never collected.
+    Rounds of a large-star and a small-star step, each round written to the shared folder, until nothing
+    changes; neighbourhoods are reduced by aggregation and never collected.
     """
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    of = lambda table: table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    was = of(edges)
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        small = materialize(small.where("u <> v").distinct(), "small-star")
-        same = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = small
-        if same:
+        small = large.join(lowest, "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.u", "e.v")
+        edges = materialize(small.where("u <> v").distinct(), "stars")
+        if (now := of(edges)) == was:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        was = now
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFrame:
@@ -156,9 +156,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFr
     least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     rooted = components(links(least.select("fp"), hot))
     grouped = least.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    grouped = materialize(grouped, "grouped")
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(grouped.join(lowest, "root").select("fp", "component_id"), "named")
+    named = grouped.join(lowest, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
