@@ -38,12 +38,12 @@ def spread(lines: DataFrame, threshold: int, sketch_bits: int = SKETCH_BITS, nea
     """
     often = lines.groupBy("h1", "h2").agg(F.count("site").alias("n")).where(F.col("n") >= threshold).select("h1", "h2")
     often = materialize(often, "often")
-    again = materialize(lines.where("site IS NOT NULL").join(small_side(often), ["h1", "h2"], "left_semi").select("h1", "h2", "site"), "again")
+    again = lines.where("site IS NOT NULL").join(small_side(often), ["h1", "h2"], "left_semi").select("h1", "h2", "site")
     sketch = again.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(sketch_bits)).alias("sketch"))
-    sized = materialize(sketch.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate")), "estimates")
+    sized = sketch.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate"))
     sure = sized.where(F.col("estimate") > near * threshold).select("h1", "h2")
     unsure = sized.where((F.col("estimate") <= near * threshold) & (F.col("estimate") >= threshold / near)).select("h1", "h2")
-    pairs = again.join(small_side(materialize(unsure, "unsure")), ["h1", "h2"], "left_semi").distinct()
+    pairs = again.join(unsure, ["h1", "h2"], "left_semi").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
     return sure.unionByName(exact.where(F.col("sites") >= threshold).select("h1", "h2"))
 
@@ -60,11 +60,10 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", threshold: int = 5
     wanted = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(site).cast("string").alias("site"), F.col("text").cast("string").alias("text"))
     lines = materialize(_lines(wanted.where("doc_id IS NOT NULL"), min_words), "lines")
     common = materialize(spread(lines, threshold), "spread")
-    held = materialize(lines.join(small_side(common), ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id", "version", "pos"), "held")
-    first = materialize(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "first")
-    gone = held.join(small_side(first), ["h1", "h2"]).where("doc_id > first")
+    held = lines.join(small_side(common), ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id", "version", "pos")
+    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    gone = held.join(first, ["h1", "h2"]).where("doc_id > first")
     gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
-    gone = materialize(gone, "gone")
     joined = base.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
     parts = joined.withColumn("__parts", F.split("text", "\n")).withColumn("__ends", F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size("__parts"))))
     # the runs of lines between removed ones

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm.common import SPACE_CLASS, materialize
 
-#: Hash bits, and bits that one histogram resolves.
-HASH_BITS, LEVEL_BITS = 60, 12
+#: Hash bits, and the bits that each level's histogram resolves.
+HASH_BITS, LEVEL_BITS = 60, (12, 12, 36)
 #: Most sources whose thresholds are broadcast; beyond it the join is shuffled.
 BROADCAST_SOURCES = 10_000
 
@@ -55,43 +55,41 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``budgets`` (source, budget key ``level``, budget) with ``threshold``: documents of the source with a
-    smaller ``hash`` come nearest to the budget.
+    """``budgets`` (source, budget and any columns; several budgets of a source are nested) with ``threshold``:
+    the documents of the source with a smaller ``hash`` come nearest to the budget.
 
     ``sized``: source, size, hash. Each level of the histogram reads only the boundary buckets of the one
-    before; the last one ends at single hash values.
+    before; the last one, within 2**-24 of a source, ends at single hash values. Each level is written.
     """
-    done = budgets.select("source", "level", "budget", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("below"))
+    kept = budgets.columns
+    done = budgets.withColumn("low", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long"))
     rest = HASH_BITS
-    while rest > 0:
-        step = min(LEVEL_BITS, rest)
+    for step in LEVEL_BITS:
         rest -= step
+        part = sized
         if rest + step < HASH_BITS:
             boundary = done.select(F.col("source").alias("s"), F.shiftright("low", rest + step).alias("p")).distinct()
-            sized = materialize(sized.join(boundary, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", rest + step) == F.col("p")), "left_semi"), "boundary")
-        histogram = sized.groupBy("source", F.shiftright("hash", rest).alias("bucket")).agg(F.sum("size").cast("long").alias("words"))
-        runs = histogram.withColumn("upto", F.sum("words").over(Window.partitionBy("source", F.shiftright("bucket", step)).orderBy("bucket")))
-        h = runs.select(F.col("source").alias("s"), F.shiftright("bucket", step).alias("p"), "bucket", "words", "upto")
-        at = F.col("below") + F.col("upto")
+            part = sized.join(boundary, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", rest + step) == F.col("p")), "left_semi")
+        histogram = part.groupBy("source", F.shiftright("hash", rest).alias("bucket")).agg(F.sum("size").cast("long").alias("words"))
+        prefix = F.shiftright("bucket", step)
+        runs = histogram.withColumn("upto", F.sum("words").over(Window.partitionBy("source", prefix).orderBy("bucket")))
+        h = runs.select(F.col("source").alias("s"), prefix.alias("p"), "bucket", "words", "upto")
         joined = done.join(h, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("low", rest + step) == F.col("p")), "left")
         # the first bucket that reaches the budget; if none does, the end of this prefix
+        at = F.col("below") + F.col("upto")
         crossing = F.min(F.when(at >= F.col("budget"), F.struct("bucket", (at - F.col("words")).alias("before"), at.alias("after")))).alias("cross")
-        found = joined.groupBy("source", "level", "budget", "low", "below").agg(crossing, F.coalesce(F.max("upto"), F.lit(0)).alias("all"))
+        found = joined.groupBy(*kept, "low", "below").agg(crossing, F.coalesce(F.max("upto"), F.lit(0)).alias("all"))
         inside = F.col("cross").isNotNull()
-        done = found.select(
-            "source",
-            "level",
-            "budget",
-            F.when(inside, F.shiftleft(F.col("cross.bucket"), rest)).otherwise(F.col("low") + F.lit((1 << (rest + step)) - 1)).alias("low"),
-            F.when(inside, F.col("cross.before")).otherwise(F.col("below") + F.col("all")).alias("below"),
-            F.coalesce(F.col("cross.after"), F.lit(0)).cast("long").alias("after"),
-        )
-        done = materialize(done, "thresholds")
+        low = F.when(inside, F.shiftleft(F.col("cross.bucket"), rest)).otherwise(F.col("low") + F.lit((1 << (rest + step)) - 1))
+        below = F.when(inside, F.col("cross.before")).otherwise(F.col("below") + F.col("all"))
         if rest:
-            done = done.drop("after")
-    # the boundary hash itself is taken where that comes nearer
-    nearer = (F.col("after") > 0) & (F.col("after") - F.col("budget") < F.col("budget") - F.col("below"))
-    return done.select("source", "level", "budget", F.when(nearer, F.col("low") + 1).otherwise(F.col("low")).alias("threshold"))
+            done = found.select(*kept, low.alias("low"), below.alias("below"))
+        else:
+            # the boundary hash itself is taken where that comes nearer
+            nearer = inside & (F.col("cross.after") - F.col("budget") < F.col("budget") - below)
+            done = found.select(*kept, F.when(nearer, low + 1).otherwise(low).alias("threshold"))
+        done = materialize(done, "thresholds")
+    return done
 
 
 def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
@@ -106,12 +104,9 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     base = docs.drop(*made)
     sized = materialize(base.select("source", count_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("hash")), "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    targets = materialize(source_targets(sizes, float(cap)), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    parts = targets.withColumn("whole", F.floor(ratio).cast("int")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    limit = thresholds(sized, parts.select("source", F.lit(0).alias("level"), "budget"))
-    plan = parts.select("source", "source_size", "target", "whole").join(limit.select(F.col("source").alias("s"), "threshold"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "whole", "threshold")
-    plan = materialize(plan, "plan")
+    parts = source_targets(sizes, float(cap)).withColumn("whole", F.floor(ratio).cast("int")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = thresholds(sized, parts).select(F.col("source").alias("s"), "source_size", "target", "whole", "threshold")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     # the row's own size and hash are cheap next to carrying it through a join by row
