@@ -64,7 +64,8 @@ def dedup(candidates: DataFrame, keys: list[str], order: str, supports: list[str
     """The first candidate of each key, with its ``supports`` arrays united in order of appearance."""
     rest = [c for c in candidates.columns if c not in keys and c not in supports]
     first = F.min_by(F.struct(*rest), order).alias("x")
-    united = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda s, c=c: s[c]))).alias(c) for c in supports]
+    pick = lambda c: F.array_sort(F.collect_list(F.struct(order, c)))[c]
+    united = [F.array_distinct(F.flatten(pick(c))).alias(c) for c in supports]
     return candidates.groupBy(*keys).agg(first, *united).select(*keys, "x.*", *supports)
 
 

@@ -73,8 +73,11 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         found = list(dict.fromkeys(of_id[c, record[c]] for c, _ in IDS if record[c] and (c, record[c]) in of_id))
         if found:
             paper = papers[found[0]]
-            for loser in found[1:]:
-                absorb(paper, papers.pop(loser))
+            for name in found[1:]:
+                loser = papers.pop(name)
+                for c, _ in IDS:  # an identifier that the survivor has otherwise is lost, and may start a paper again
+                    of_id.pop((c, loser[c]), None)
+                absorb(paper, loser)
         else:
             name = next((p + record[c] for c, p in IDS if record[c]), None)
             if name is None:
