@@ -1,0 +1 @@
+"""Whole runs: sinks, digests and reports built from operators."""

@@ -1,0 +1 @@
+"""Readers of the formats that literature connectors and benchmarks use, from saved responses and files."""
