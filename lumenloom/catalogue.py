@@ -197,12 +197,12 @@ def token_cost(spark, d):
     return joined.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.sum((cost * 1_000_000).cast("decimal(28,5)")).alias("microcents"))
 
 
-@_query("""WITH s AS (SELECT l_suppkey AS model, round(1000 * avg(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) AS cost_per_1k, round(avg(CAST(l_discount AS DECIMAL(18,2)))::DOUBLE, 4) AS f1 FROM lineitem GROUP BY 1),
+@_query("""WITH s AS (SELECT l_suppkey AS model, round(1000 * (sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE / count(*)), 2) AS cost_per_1k, round(sum(CAST(l_discount AS DECIMAL(18,2)))::DOUBLE / count(*), 4) AS f1 FROM lineitem GROUP BY 1),
            b AS (SELECT max(f1) AS best FROM s)
            SELECT model, cost_per_1k, f1, f1 >= best - 0.005 AS near_best, cost_per_1k = (SELECT min(cost_per_1k) FROM s, b WHERE f1 >= best - 0.005) AS cheapest FROM s, b""")
 def cost_per_1k(spark, d):
     l = _t(spark, d, "lineitem")
-    s = l.groupBy(F.col("l_suppkey").alias("model")).agg(F.round(1000 * F.avg(_money("l_extendedprice")).cast("double"), 2).alias("cost_per_1k"), F.round(F.avg(_money("l_discount")).cast("double"), 4).alias("f1"))
+    s = l.groupBy(F.col("l_suppkey").alias("model")).agg(F.round(1000 * (F.sum(_money("l_extendedprice")).cast("double") / F.count(F.lit(1))), 2).alias("cost_per_1k"), F.round(F.sum(_money("l_discount")).cast("double") / F.count(F.lit(1)), 4).alias("f1"))
     best = s.agg((F.max("f1") - 0.005).alias("floor"))
     near = s.crossJoin(F.broadcast(best)).withColumn("near_best", F.col("f1") >= F.col("floor"))  # one row
     least = near.agg(F.min(F.when(F.col("near_best"), F.col("cost_per_1k"))).alias("least"))
