@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenloom.runtime import materialize as materialize
+
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -17,23 +17,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is set only where the session has none."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lumenloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def python_ready(spark: SparkSession) -> None:
     """Let Python workers import this package, and keep Arrow batches of long texts small."""
     root = str(Path(__file__).resolve().parents[2])

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.common import materialize, python_ready
+from lumenloom.operators.resolve import connected
 
 RADIUS = 2
 #: Different fingerprints under one key that are compared with each other in a task.
@@ -123,28 +124,6 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return found.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (least node reachable) for every node of ``edges`` (a, b: long).
-
-    Rounds of a large-star and a small-star step, each round written to the shared folder, until nothing
-    changes; neighbourhoods are reduced by aggregation and never collected.
-    """
-    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
-    of = lambda table: table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    was = of(edges)
-    while True:
-        both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.u", "e.v")
-        edges = materialize(small.where("u <> v").distinct(), "stars")
-        if (now := of(edges)) == was:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        was = now
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (least doc_id reachable over links of two bits or fewer).
 
@@ -154,7 +133,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot: int = HOT) -> DataFr
     """
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    rooted = components(links(least.select("fp"), hot))
+    rooted = connected(links(least.select("fp"), hot))
     grouped = least.join(rooted, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(lowest, "root").select("fp", "component_id")

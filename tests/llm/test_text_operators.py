@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenloom.llm import digests, langid, line_spread, mixing, queries, rule_ledger, secret_scan, simhash, toxicity
+from lumenloom.operators.resolve import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, fingerprint string, n_lines string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,7 +202,7 @@ def test_links_lose_nothing(spark, hot):
             values.add(s ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     distinct = spark.createDataFrame([(v,) for v in signed], "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(distinct, hot)).collect()}
+    found = {r.node: r.root for r in connected(simhash.links(distinct, hot)).collect()}
     want = brute_components(signed)
     assert {v: found.get(v, v) for v in signed} == want
 
