@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize, python_ready
+from lumenloom.llm.common import materialize, python_ready, small_side
 from lumenloom.llm.tokens import encoder
 
 #: Bits of each level; the last level takes whatever is left of 32 bits.
@@ -183,7 +183,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     }
                 )
 
-    return segments.join(before, "part").select("before", "first", "n_ids", "doc_ids", "starts", "code").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.join(small_side(before), "part").select("before", "first", "n_ids", "doc_ids", "starts", "code").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
