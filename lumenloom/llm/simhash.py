@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import materialize, python_ready
+from lumenloom.llm.common import materialize, python_ready, small_side
 from lumenloom.operators.resolve import connected
 
 RADIUS = 2
@@ -147,7 +147,7 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """
     found = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle).where("doc_id = component_id")
     stay = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "stay")
-    kept = docs.join(stay, "doc_id").select(*docs.columns, "__rows")
+    kept = docs.join(small_side(stay), "doc_id").select(*docs.columns, "__rows")
     out = kept.where("__rows = 1").drop("__rows").unionByName(docs.where("doc_id IS NULL"))
     if stay.where("__rows > 1").isEmpty():
         return out
