@@ -43,7 +43,8 @@ def spread(lines: DataFrame, threshold: int, sketch_bits: int = SKETCH_BITS, nea
     sized = sketch.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("estimate"))
     sure = sized.where(F.col("estimate") > near * threshold).select("h1", "h2")
     unsure = sized.where((F.col("estimate") <= near * threshold) & (F.col("estimate") >= threshold / near)).select("h1", "h2")
-    pairs = again.join(unsure, ["h1", "h2"], "left_semi").distinct()
+    # filtered where the rows are and made distinct before they move, so a hot line sends a row a site and task
+    pairs = again.join(small_side(materialize(unsure, "unsure")), ["h1", "h2"], "left_semi").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
     return sure.unionByName(exact.where(F.col("sites") >= threshold).select("h1", "h2"))
 
