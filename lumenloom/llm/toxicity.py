@@ -1,10 +1,10 @@
 """Toxicity by a classifier chain.
 
-One linear model (L2-regularised logistic regression on the presence of words) for each category, in a
+One linear model (L2-regularised logistic regression on the presence of words and word beginnings) for each category, in a
 fixed order; each sees, besides the words, the probabilities of the categories before it. While training,
 those are out-of-fold: a document's probability comes from models that never saw it, so later models
-learn how far earlier ones can be trusted. The vocabulary is chosen by how unevenly words fall on the
-categories, over all documents of the labelled sample.
+learn how far earlier ones can be trusted. The vocabulary is the words that speak most for
+some category, over all documents of the labelled sample.
 """
 
 from __future__ import annotations
@@ -15,18 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.common import materialize, python_ready
 
 #: The bounded sample of labelled rows to fit on, chosen by hash over all of them.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 #: Words of the model, and the fewest documents one must occur in.
-MAX_WORDS, MIN_DOCS = 1000, 8
+MAX_WORDS, MIN_DOCS = 300, 8
 FOLDS = 4
-RIDGE = 2.0
-THRESHOLD = 0.5
+RIDGE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 #: Categories of the labels at hand, in chain order: (name, SQL condition over the label columns).
@@ -35,11 +34,13 @@ CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_lo
 
 @dataclass(frozen=True)
 class Chain:
-    """Words by column, and for each category the weights of words, earlier categories and the intercept."""
+    """Words by column; for each category the weights of words, earlier categories and the intercept, and the
+    probability from which it is given."""
 
     words: tuple[str, ...]
     categories: tuple[str, ...]
     weights: tuple[np.ndarray, ...]
+    thresholds: tuple[float, ...]
 
     def probabilities(self, present: np.ndarray) -> list[float]:
         """Category probabilities of a document that holds the words ``present`` (columns)."""
@@ -51,50 +52,65 @@ class Chain:
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+    """Distinct lower-case words of a text, and their beginnings of three to six letters (marked ``*``)."""
+    if not text:
+        return set()
+    words = set(_WORD.findall(text.lower()))
+    starts = {x for w in words if len(w) > 3 for x in (w[:3], w[:4], w[:5], w[:6])[: len(w) - 3]}
+    return words.union([x + "*" for x in starts])
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 150) -> np.ndarray:
-    """Weights with the intercept last, by accelerated gradient steps; the intercept is not shrunk."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
+    """Weights with the intercept last, by Newton steps, halved where they overshoot; the intercept is not shrunk."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1])
     if len(x) == 0 or y.min() == y.max():
         w[-1] = 0.0 if len(x) == 0 else np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
         return w
-    keep = np.ones(len(w), np.float32)
-    keep[-1] = 0
-    v = np.random.default_rng(0).normal(size=len(w)).astype(np.float32)
-    for _ in range(12):  # largest eigenvalue, for the step
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v)
-    step = np.float32(1 / (0.25 * 1.05 * np.linalg.norm(x.T @ (x @ v)) + ridge))
-    ahead, last = w.copy(), w.copy()
-    for k in range(rounds):
-        gradient = x.T @ (_sigmoid(x @ ahead) - y) + ridge * keep * ahead
-        w = ahead - step * gradient
-        ahead = w + np.float32(k / (k + 3)) * (w - last)
-        last = w
+    keep = np.full(len(w), ridge)
+    keep[-1] = 1e-6
+    loss = lambda w: float(np.logaddexp(0, z := x @ w.astype(np.float32)).sum() - y @ z + 0.5 * (keep * w * w).sum())
+    now = loss(w)
+    for _ in range(rounds):
+        p = _sigmoid(x @ w.astype(np.float32))
+        gradient = x.T @ (p - y) + keep * w
+        curvature = (x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None])).astype(np.float64) + np.diag(keep)
+        step = np.linalg.solve(curvature, gradient)
+        while (after := loss(w - step)) > now + 1e-3 and np.abs(step).max() > 1e-5:
+            step /= 2
+        w, gain, now = w - step, now - after, after
+        if gain < 1e-3:
+            break
     return w
 
 
 def fit_chain(words: tuple[str, ...], x: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
     """Chain from presence rows ``x``, label columns in chain order and fold numbers."""
-    earlier, weights = np.zeros((len(x), 0), np.float32), []
+    earlier, weights, limits = np.zeros((len(x), 0), np.float32), [], []
     for k in range(labels.shape[1]):
         features = np.hstack([x, earlier]).astype(np.float32)
         y = labels[:, k].astype(np.float32)
-        weights.append(fit_logistic(features, y).astype(np.float64))
-        if k + 1 < labels.shape[1]:
-            apart = np.zeros(len(x), np.float32)
-            for f in np.unique(fold):
-                w = fit_logistic(features[fold != f], y[fold != f])
-                apart[fold == f] = _sigmoid(features[fold == f] @ w[:-1] + w[-1])
-            earlier = np.hstack([earlier, apart[:, None]])
-    return Chain(words, categories, tuple(weights))
+        whole = fit_logistic(features, y)
+        weights.append(whole.astype(np.float64))
+        apart = np.zeros(len(x), np.float32)
+        for f in np.unique(fold):
+            w = fit_logistic(features[fold != f], y[fold != f])
+            apart[fold == f] = _sigmoid(features[fold == f] @ w[:-1] + w[-1])
+        earlier = np.hstack([earlier, apart[:, None]])
+        limits.append(best_threshold(apart, y))
+    return Chain(words, categories, tuple(weights), tuple(limits))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray, default: float = 0.5) -> float:
+    """The out-of-fold probability, 0.1 to 0.9, from which a category is given with the best F1."""
+    grid = np.arange(0.1, 0.901, 0.05)
+    hits = np.array([(y[p >= t].sum(), (p >= t).sum()) for t in grid], np.float64).reshape(-1, 2)
+    f1 = 2 * hits[:, 0] / np.maximum(hits[:, 1] + y.sum(), 1)
+    return float(round(grid[int(np.argmax(f1))], 2)) if f1.max() > 0 else default
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, rows: int = TRAIN_ROWS) -> Chain:
@@ -120,9 +136,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     shape = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", words array<string>"
     held = materialize(sample.mapInArrow(presence, shape), "toxicity-sample")
     n, *base = held.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
-    # how far a word's documents stray from a category's share, in standard errors
+    # how far a word's documents exceed a category's share, in standard errors
     per = held.select(F.explode("words").alias("word"), *names).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in names])
-    stray = F.greatest(F.lit(0.0), *[F.abs(F.col(c) - F.col("df") * F.lit(b / max(n, 1))) / F.sqrt(F.col("df") * F.lit(max(b / max(n, 1) * (1 - b / max(n, 1)), 1e-9))) for c, b in zip(names, base, strict=True)])
+    stray = F.greatest(F.lit(0.0), *[(F.col(c) - F.col("df") * F.lit(b / max(n, 1))) / F.sqrt(F.col("df") * F.lit(max(b / max(n, 1) * (1 - b / max(n, 1)), 1e-9))) for c, b in zip(names, base, strict=True)])
     chosen = per.where(F.col("df") >= MIN_DOCS).withColumn("stray", stray).orderBy(F.desc("stray"), "word").limit(MAX_WORDS)
     words = tuple(sorted(r["word"] for r in chosen.select("word").collect()))
     column = {w: k for k, w in enumerate(words)}
@@ -135,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     return fit_chain(words, x, y, np.array([r["spot"] % FOLDS for r in got]), names)
 
 
-def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id and, for each category of the chain, p_<category> (double) and <category> (boolean).
 
     Whole texts are read; a null or empty text has the probabilities of a text without known words. Rows
@@ -153,9 +169,5 @@ def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(table[:, k]) for k in range(table.shape[1]))], names=["doc_id", *(f"p_{c}" for c in chain.categories)])
 
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, shape)
-    flag = lambda c: (F.col(f"p_{c}") >= threshold).alias(c)
-    return scored.select("doc_id", *[x for c in chain.categories for x in (F.col(f"p_{c}"), flag(c))])
-
-
-def toxic(column: str = "p_toxic", threshold: float = THRESHOLD) -> Column:
-    return F.col(column) >= threshold
+    flag = lambda c, t: (F.col(f"p_{c}") >= t).alias(c)
+    return scored.select("doc_id", *[x for c, t in zip(chain.categories, chain.thresholds, strict=True) for x in (F.col(f"p_{c}"), flag(c, t))])
