@@ -41,7 +41,7 @@ RULES: tuple[Rule, ...] = (
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": ("too_few_words", "repeated_windows", "symbol_heavy", "repeated_lines"),
-    # v1's ablation: of the documents that repeated_lines alone rejects, ten in eleven are labelled good
+    # at sf0.1, of 22 labelled documents that only repeat lines (more than a fifth of them), 20 are labelled good
     "v2": ("too_few_words", "repeated_windows", "symbol_heavy", "word_length"),
 }
 PRODUCTION = "v2"
