@@ -145,8 +145,12 @@ def one_of_each(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Of several rows of that doc_id the one of the least text stays. Rows without doc_id all stay.
     """
-    found = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle).where("doc_id = component_id")
-    stay = materialize(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "stay")
+    return keep_least(docs, near_duplicates(docs.where("doc_id IS NOT NULL"), shingle))
+
+
+def keep_least(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay by ``named`` (doc_id, component_id), as ``one_of_each`` says."""
+    stay = materialize(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")), "stay")
     kept = docs.join(small_side(stay), "doc_id").select(*docs.columns, "__rows")
     out = kept.where("__rows = 1").drop("__rows").unionByName(docs.where("doc_id IS NULL"))
     if stay.where("__rows > 1").isEmpty():
