@@ -405,6 +405,13 @@ def near_dup_jaccard(spark, d):
     return scored.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@_query()
+def near_dup_jaccard_whole(spark, d):
+    """All documents, no token cap; the query above is held to its SQL, which has both cuts."""
+    found = evidence.similar_pairs(_t(spark, d, "documents"), "doc_id", "text", 0.3)
+    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 _COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
