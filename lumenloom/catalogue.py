@@ -434,6 +434,26 @@ def mrr_recall_at_k(spark, d):
     return metrics.reciprocal_ranks(first, "first", 10).withColumn("mrr", F.round("mrr", 9))
 
 
+@_query()
+def retrieve_topk_whole(spark, d):
+    """Every row whose id is divisible by 50 as a query, against all rows."""
+    e = _t(spark, d, "embeddings")
+    found = evidence.top_k(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", 3)
+    return found.select("query_id", "item_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@_query()
+def mrr_recall_at_k_whole(spark, d):
+    """The query set of ``retrieve_topk_whole``; a rank counts the items before the best of the query's label, so no ranked list is kept."""
+    e = _t(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
+    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", (F.col("label") == F.col("query_label")).alias("hit"), F.round(evidence.cosine(F.col("q"), F.col("embedding")), 9).alias("c"))
+    best = scored.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.struct((-F.col("c")).alias("c"), F.col("vec_id").alias("i")))).alias("best"))
+    ahead = (F.col("c") > -F.col("best.c")) | ((F.col("c") == -F.col("best.c")) & (F.col("vec_id") <= F.col("best.i")))
+    first = scored.join(F.broadcast(best), "query_id").groupBy("query_id").agg(F.nullif(F.count_if(ahead), F.lit(0)).alias("first"))
+    return metrics.reciprocal_ranks(first, "first", 10).withColumn("mrr", F.round("mrr", 9))
+
+
 @_query(f"""WITH c AS (SELECT doc_id, CASE WHEN length(text) <= 800 THEN [text] ELSE list_transform(range(0, length(text), 680), lambda i: substr(text, i + 1, 800)) END AS cs FROM documents WHERE lang = 'fr'),
             p AS (SELECT doc_id, unnest(cs) AS passage, unnest(range(len(cs))) AS pos FROM c), w AS (SELECT doc_id, pos, {_CONTENT.format(c="passage")} AS w FROM p WHERE trim(passage) <> ''),
             b AS (SELECT item_id, {_CONTENT.format(c="text")} AS w FROM benchmark WHERE item_id < 4)

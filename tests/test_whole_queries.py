@@ -28,3 +28,24 @@ def test_similar_pairs_of_many_copies_and_of_all_documents(spark, sf_dir):
     assert sorted((r.a, r.b, round(r.similarity, 6)) for r in got) == brute_similar(rows, 0.3)
     got = [tuple(r) for r in catalogue.queries()["near_dup_jaccard_whole"](spark, sf_dir).collect()]
     assert sorted(got) == brute_similar([(r["doc_id"], r["text"]) for r in table(sf_dir, "documents")], 0.3)
+
+
+def test_embedding_queries_are_all_ids_divisible_by_50(spark, sf_dir):
+    import numpy as np
+
+    rows = table(sf_dir, "embeddings")
+    ids, label = [r["vec_id"] for r in rows], {r["vec_id"]: r["label"] for r in rows}
+    unit = np.array([r["embedding"] for r in rows], float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    top, first = [], []
+    asked = [i for i in ids if i % 50 == 0]
+    for q in asked:
+        c = unit @ unit[ids.index(q)]
+        order = sorted((-round(float(v), 9), i) for v, i in zip(c, ids, strict=True) if i != q)
+        top += [(q, i, k + 1) for k, (_, i) in enumerate(order[:3])]
+        first.append(next((k + 1 for k, (_, i) in enumerate(order) if label[i] == label[q]), None))
+    got = catalogue.queries()["retrieve_topk_whole"](spark, sf_dir).collect()
+    assert sorted((r.query_id, r.item_id, r.rank) for r in got) == sorted(top)
+    m = catalogue.queries()["mrr_recall_at_k_whole"](spark, sf_dir).first()
+    assert m.n == len(asked) and abs(m.mrr - sum(1 / f for f in first if f) / len(first)) < 1e-8
+    assert abs(m.recall_at_k - sum(bool(f and f <= 10) for f in first) / len(first)) < 1e-8
