@@ -467,6 +467,15 @@ def best_passage(spark, d):
     return found.select("item_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("shared").cast("long").alias("shared"))
 
 
+@_query()
+def best_passage_whole(spark, d):
+    """All documents, of any language and of none, for the benchmark items whose id is divisible by 50."""
+    docs = _t(spark, d, "documents")
+    b = _t(spark, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("claim"))
+    found = evidence.best_passage(docs.select("doc_id").join(F.broadcast(b), F.lit(True)), evidence.passages(docs, "doc_id", "text"), "item_id", "claim", ["doc_id"])
+    return found.select("item_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.col("shared").cast("long").alias("shared"))
+
+
 @_query("""WITH t AS (SELECT conv_id, role, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations), e AS (SELECT DISTINCT conv_id, role, unnest(w) AS token FROM t), f AS (SELECT * FROM e WHERE length(token) >= 3),
            g AS (SELECT conv_id, token, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a FROM f GROUP BY 1, 2),
            s AS (SELECT conv_id, count(*) FILTER (u) AS n_user, count(*) FILTER (a) AS n_assistant, count(*) FILTER (u AND a) AS shared FROM g GROUP BY 1)

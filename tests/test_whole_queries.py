@@ -5,6 +5,7 @@ import re
 import pyarrow.parquet as pq
 
 from lumenloom import catalogue
+from lumenloom.functions.text import STOP_WORDS
 from lumenloom.operators import evidence
 
 
@@ -49,3 +50,24 @@ def test_embedding_queries_are_all_ids_divisible_by_50(spark, sf_dir):
     m = catalogue.queries()["mrr_recall_at_k_whole"](spark, sf_dir).first()
     assert m.n == len(asked) and abs(m.mrr - sum(1 / f for f in first if f) / len(first)) < 1e-8
     assert abs(m.recall_at_k - sum(bool(f and f <= 10) for f in first) / len(first)) < 1e-8
+
+
+def content(x):
+    return toks(x) - set(STOP_WORDS)
+
+
+def items(sf_dir):
+    return [(r["item_id"], r["text"]) for r in table(sf_dir, "benchmark") if r["item_id"] % 50 == 0]
+
+
+def test_best_passage_of_all_documents(spark, sf_dir):
+    want = []
+    for item, claim in items(sf_dir):
+        for r in table(sf_dir, "documents"):
+            x = r["text"]
+            parts = [x] if len(x) <= 800 else [x[i : i + 800] for i in range(0, len(x), 680)]
+            shared = [len(content(claim) & content(p)) for p in parts if p.strip()]
+            if shared:
+                want.append((item, r["doc_id"], shared.index(max(shared)), max(shared)))
+    got = catalogue.queries()["best_passage_whole"](spark, sf_dir).collect()
+    assert sorted((r.item_id, r.doc_id, r.pos, r.shared) for r in got) == sorted(want)
