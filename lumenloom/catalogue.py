@@ -390,6 +390,14 @@ def token_f1_best_sentence(spark, d):
     return docs.join(F.broadcast(b), F.lit(True)).select("item_id", "doc_id", F.round(evidence.best_sentence_f1(F.col("claim"), F.col("text")), 6).alias("score"))
 
 
+@_query()
+def token_f1_best_sentence_whole(spark, d):
+    """Whole documents of any length, for the benchmark items whose id is divisible by 50."""
+    b = _t(spark, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("claim"))
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return docs.join(F.broadcast(b), F.lit(True)).select("item_id", "doc_id", F.round(evidence.best_sentence_f1(F.col("claim"), F.col("text")), 6).alias("score"))
+
+
 @_query(f"""WITH t AS (SELECT doc_id, {_TOK.format(c="text")} AS w FROM documents WHERE n_chars < 400),
             e AS (SELECT doc_id, unnest(w) AS token FROM t), r AS (SELECT token FROM e GROUP BY token HAVING count(*) <= 50),
             p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM e a JOIN r ON a.token = r.token JOIN e b ON a.token = b.token AND a.doc_id < b.doc_id)

@@ -71,3 +71,10 @@ def test_best_passage_of_all_documents(spark, sf_dir):
                 want.append((item, r["doc_id"], shared.index(max(shared)), max(shared)))
     got = catalogue.queries()["best_passage_whole"](spark, sf_dir).collect()
     assert sorted((r.item_id, r.doc_id, r.pos, r.shared) for r in got) == sorted(want)
+
+
+def test_token_f1_of_all_documents(spark, sf_dir):
+    f1 = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+    want = {(i, r["doc_id"]): max(f1(toks(c), toks(x)) for x in re.split(r"[.!?\n]+", r["text"])) for i, c in items(sf_dir) for r in table(sf_dir, "documents")}
+    got = {(r.item_id, r.doc_id): r.score for r in catalogue.queries()["token_f1_best_sentence_whole"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
