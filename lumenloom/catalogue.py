@@ -378,6 +378,15 @@ def overlap_verify(spark, d):
     return evidence.verify(pairs, "claim", "text").select("item_id", "doc_id", "shared", "ok")
 
 
+@_query()
+def overlap_verify_whole(spark, d):
+    """All documents, for the benchmark items whose id is divisible by 50."""
+    b = _t(spark, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("claim"))
+    shared = F.size(F.array_intersect(text.content_words(F.col("claim")), text.content_words(F.col("text"))))
+    pairs = _t(spark, d, "documents").select("doc_id", "text").join(F.broadcast(b), F.lit(True)).withColumn("shared", shared.cast("long")).where("shared > 0")
+    return evidence.verify(pairs, "claim", "text").select("item_id", "doc_id", "shared", "ok")
+
+
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) >= 3))"
 
 

@@ -78,3 +78,14 @@ def test_token_f1_of_all_documents(spark, sf_dir):
     want = {(i, r["doc_id"]): max(f1(toks(c), toks(x)) for x in re.split(r"[.!?\n]+", r["text"])) for i, c in items(sf_dir) for r in table(sf_dir, "documents")}
     got = {(r.item_id, r.doc_id): r.score for r in catalogue.queries()["token_f1_best_sentence_whole"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_overlap_verify_of_all_documents(spark, sf_dir):
+    want = []
+    for item, claim in items(sf_dir):
+        words, stated = content(claim), re.findall(r"(?<![A-Za-z0-9])(\d+(?:\.\d+)?)(?![A-Za-z0-9])", claim)
+        for r in table(sf_dir, "documents"):
+            if shared := len(words & content(r["text"])):
+                want.append((item, r["doc_id"], shared, shared / len(words) >= 0.5 and all(n in r["text"].lower() for n in stated)))
+    got = catalogue.queries()["overlap_verify_whole"](spark, sf_dir).collect()
+    assert sorted((r.item_id, r.doc_id, r.shared, r.ok) for r in got) == sorted(want)
