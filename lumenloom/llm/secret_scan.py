@@ -42,6 +42,8 @@ SENSITIVITY = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0, "accesskey": 1.0, "access_key": 1.0,
     "private_key": 1.0, "privatekey": 1.0, "credential": 0.9, "auth": 0.6, "signature": 0.5, "salt": 0.6, "bearer": 0.9, "client_key": 0.8, "encryption_key": 1.0, "key": 0.4,
 }
+#: Of ``key`` as a whole part of a name: a literal of mixed classes can pass, a plain word (randomness 0.6 at most) cannot.
+KEY_PART = 0.6
 #: Literals that stand for a secret and are none.
 PLACEHOLDERS = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|your[-_ ].*|<.*>|\$\{.*\}|\$[A-Z_]+|todo)\Z")
 THRESHOLD = 0.45
@@ -50,7 +52,8 @@ MIN_CHARS = 6
 
 def sensitivity(name: str) -> float:
     folded = re.sub(r"[-.]", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)).lower()
-    return max((w for part, w in SENSITIVITY.items() if part in folded), default=0.0)
+    whole = KEY_PART if "key" in folded.split("_") else 0.0
+    return max([whole, *(w for part, w in SENSITIVITY.items() if part in folded)])
 
 
 def randomness(literal: str) -> float:
