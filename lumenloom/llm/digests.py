@@ -1,7 +1,7 @@
 """Canonical exact digests of texts.
 
 A text is normalised (NFKC, full case folding, NFKC again), its white space runs become one space and
-the ends are trimmed; the canonical text's two xxhash64 values (two seeds' worth, 128 bits) name a
+the ends are trimmed; the canonical text's two xxhash64 values (the second salted first, 128 bits) name a
 bucket. Where a bucket holds more than one text, their canonical bytes are compared; texts that share
 a bucket but differ in bytes get a suffix, so equal digests mean equal canonical bytes.
 
@@ -30,7 +30,7 @@ def canonical(text: Column) -> Column:
 def bucket(form: Column) -> Column:
     """128 bits of a canonical text as 32 hex digits."""
     wide = lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))
-    return F.concat(wide(F.xxhash64(form)), wide(F.xxhash64(form, F.lit("wide"))))
+    return F.concat(wide(F.xxhash64(form)), wide(F.xxhash64(F.lit("wide"), form)))
 
 
 def collisions(forms: DataFrame) -> DataFrame | None:

@@ -28,7 +28,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     several = rf"^{SPACE_CLASS}*([^{SPACE_CLASS[1:-1]}]+{SPACE_CLASS}+){{{min_words - 1}}}[^{SPACE_CLASS[1:-1]}]"
     lines = docs.select("doc_id", F.xxhash64("text").alias("version"), "site", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     lines = lines.where(F.col("line").rlike(several)).withColumn("line", _trimmed(F.col("line")))
-    return lines.select("doc_id", "version", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit("wide")).alias("h2"))
+    return lines.select("doc_id", "version", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("wide"), "line").alias("h2"))
 
 
 def spread(lines: DataFrame, threshold: int, sketch_bits: int = SKETCH_BITS, near: float = NEAR) -> DataFrame:
