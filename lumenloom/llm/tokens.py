@@ -1,26 +1,40 @@
-"""Token ids of whole texts, by the ``tokenizers`` library, with every distinct piece encoded once.
+"""Token ids of whole texts, by the ``tokenizers`` library, with a distinct piece encoded once.
 
 A byte-level BPE cuts a text into pre-tokens before it merges bytes. A pre-token begins at every lone
 space and newline, and of a run of white space the last character stands apart; so a text is cut before
 each space and newline, its pieces are encoded and the ids joined, and a piece that was seen before costs
 one look-up. Where that would cut inside one pre-token (a run of three, of two at an end, or white space of
 another kind) the text is encoded whole.
+
+New pieces are encoded many at a time, as one text in which each follows a newline: a newline before a
+space or a word is a token of its own, so its id shows where a piece ends. Punctuation at the end of a piece, after a Latin
+letter, is a pre-token too, and its ids follow those of the word. Pieces are kept in two generations: when
+the younger one is full it becomes the older, and what is asked for again moves back.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import string
 from array import array
 
 import numpy as np
 
-#: Distinct pieces a worker keeps; the memory of a worker is bounded by it.
-MAX_PIECES = 700_000
+#: Distinct pieces a worker keeps, in both generations; the memory of a worker is bounded by it.
+MAX_PIECES = 900_000
 #: Longer pieces are encoded but not kept.
 _KEEP_CHARS = 64
+#: Pieces that are encoded as one text.
+_TOGETHER = 16
+_MARKS = string.punctuation
+#: Different endings that a worker keeps.
+_MAX_ENDINGS = 10_000
 _THREE = re.compile(r"\s\s\s")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+#: Letters below it are Latin in every version of Unicode that a regular expression may know.
+_LATIN = "\u0250"
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -28,7 +42,7 @@ _encoders: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """Encodes lists of texts to arrays of ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,21 +50,74 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype(f"u{array(self.code).itemsize}")
-        self.newline = self._encode(["\n"])[0]
-        self.pieces: dict[str, bytes] = {}
+        self.most = most
+        space, self.newline = self._encode([" ", "\n"])
+        self.endings: dict[str, bytes] = {}
+        # a piece stands for itself after a space, or as it is where it begins with a newline
+        self.always = {"": space, "\n": self.newline}
+        self.pieces, self.older = dict(self.always), {}
 
     def _encode(self, raw: list[str]) -> list[bytes]:
         found: list[bytes] = []
-        for i in range(0, len(raw), 2000):
-            got = self.tokenizer.encode_batch_fast(raw[i : i + 2000], add_special_tokens=False)
+        for i in range(0, len(raw), 512):
+            got = self.tokenizer.encode_batch_fast(raw[i : i + 512], add_special_tokens=False)
             found += [array(self.code, x.ids).tobytes() for x in got]
         return found
 
+    def _encode_pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces (neither empty nor a newline alone, no other white space inside)."""
+        if not new:
+            return []
+        lead = ["\n " + x if x[:1] != "\n" else x for x in new]
+        ids = b"".join(self._encode(["".join(lead[i : i + _TOGETHER]) for i in range(0, len(lead), _TOGETHER)]))
+        width = self.dtype.itemsize
+        at = np.flatnonzero(np.frombuffer(ids, self.dtype) == np.frombuffer(self.newline, self.dtype)[0]) * width
+        if len(at) != len(new) or len(self.newline) != width:  # a vocabulary that joins newlines to something else
+            return self._encode([x if x[:1] == "\n" else " " + x for x in new])
+        ends = [*at[1:].tolist(), len(ids)]
+        return [ids[a if x[:1] == "\n" else a + width : b] for x, a, b in zip(new, at.tolist(), ends, strict=True)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Adds the pieces to the younger generation."""
+        known, older = self.pieces, self.older
+        again = [x for x in missing if x in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new, ended, needed = [], [], set()
+        for x in missing.difference(again):
+            y = x.rstrip(_MARKS)
+            if len(y) < len(x) and y and y[-1] < _LATIN and y[-1].isalpha():
+                ended.append((x, y, x[len(y) :]))
+                needed.add(y)
+            else:
+                new.append(x)
+        new += needed.difference(known, new)
+        known.update(zip(new, self._encode_pieces(new), strict=True))
+        if len(self.endings) > _MAX_ENDINGS:
+            self.endings = {}
+        ends = list({x for _, _, x in ended}.difference(self.endings))
+        self.endings.update(zip(ends, self._encode(ends), strict=True))
+        for x, y, end in ended:
+            known[x] = known[y] + self.endings[end]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; of null none."""
+        # no cycles arise here, and looking for them among the many live objects costs a tenth of the time
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         out = [b""] * len(texts)
-        cut: dict[int, list[str]] = {}
+        cut: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
+        missing: set[str] = set()
         whole: list[int] = []
+        if len(self.pieces) > self.most // 2:
+            self.pieces, self.older = dict(self.always), self.pieces
+        known, skip = self.pieces, len(self.newline)
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -62,27 +129,25 @@ class PieceEncoder:
             del parts[0]
             if parts.count("") + parts.count("\n") > 1 and _THREE.search(text):
                 whole.append(i)
-            else:
-                cut[i] = parts
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces = {}
-        missing = {x for x in set().union(*cut.values()) if x not in self.pieces}
-        if other := {x for x in missing if _OTHER_SPACE.search(x)}:
-            for i in [i for i, parts in cut.items() if not other.isdisjoint(parts)]:
+                continue
+            found = list(map(known.get, parts))
+            gaps = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            unknown = [parts[k] for k in gaps]
+            if unknown and _OTHER_SPACE.search("".join(unknown).replace("\n", "")):
                 whole.append(i)
-                del cut[i]
-            missing -= other
-        # "\nab" stands for itself, "ab" for " ab"
-        new = list(missing)
-        self.pieces.update(zip(new, self._encode([x if x[:1] == "\n" else " " + x for x in new]), strict=True))
+                continue
+            missing.update(unknown)
+            cut.append((i, parts, found, gaps))
+        self._learn(missing)
         for i, got in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = got
-        known, skip = self.pieces.__getitem__, len(self.newline)
-        for i, parts in cut.items():
-            out[i] = b"".join(map(known, parts))[skip:]
-        for x in new:
+        for i, parts, found, gaps in cut:
+            for k in gaps:
+                found[k] = known[parts[k]]
+            out[i] = b"".join(found)[skip:]
+        for x in missing:
             if len(x) > _KEEP_CHARS:
-                del self.pieces[x]
+                del known[x]
         return [np.frombuffer(x, self.dtype) for x in out]
 
 
