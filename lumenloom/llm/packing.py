@@ -14,7 +14,6 @@ that is not full. Sequence ids are unique, not dense: task number * 2**33 + a ru
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,8 +49,6 @@ def fill_sequences(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut_at:
     many tokens, which no item fits, takes the head of the largest item left; that is only allowed
     where every token bears loss or none does (an item's loss is cut in proportion).
     """
-    if limits.tokens == limits.loss_tokens and np.array_equal(tokens, loss):
-        return _fill_by_size(tokens, limits, cut_at)
     n, capacity = len(tokens), limits.vector()
     demand = np.stack([tokens, np.ones(n), loss], axis=1).astype(np.float64) / capacity
     start, alive = np.zeros(n, np.int64), np.ones(n, bool)
@@ -90,30 +87,6 @@ def fill_sequences(tokens: np.ndarray, loss: np.ndarray, limits: Limits, cut_at:
         out.append(held)
 
 
-def _fill_by_size(tokens: np.ndarray, limits: Limits, cut_at: int) -> list[list[tuple[int, int, int]]]:
-    """The same choice where every token bears loss: the dot product then grows with an item's tokens, so the
-    largest item that fits is found by bisection."""
-    order = np.lexsort((-np.arange(len(tokens)), tokens))
-    sizes, items, starts = tokens[order].tolist(), order.tolist(), {}
-    out = []
-    while items:
-        left, held = limits.tokens, []
-        while len(held) < limits.segments and (k := bisect_right(sizes, left) - 1) >= 0:
-            size, item = sizes.pop(k), items.pop(k)
-            held.append((item, starts.get(item, 0), size))
-            left -= size
-        if cut_at and left >= cut_at and items and len(held) < limits.segments:
-            size, item = sizes.pop(), items.pop()
-            take = min(left, size - 1)
-            held.append((item, starts.get(item, 0), take))
-            starts[item] = starts.get(item, 0) + take
-            k = bisect_right(sizes, size - take)
-            sizes.insert(k, size - take)
-            items.insert(k, item)
-        out.append(held)
-    return out
-
-
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 )
