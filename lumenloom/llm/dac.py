@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,9 @@ def write_codes(docs: DataFrame, end_id: int, vocabulary: str | None = None, seg
 
     only = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = only.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # a text's beginning deals rows of one doc_id, or of none, to several tasks; its order is the text's
+    by_id, by_text = F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
+    ordered = only.repartitionByRange(parts, by_id, F.substring("text", 1, 32).asc_nulls_first()).sortWithinPartitions(by_id, by_text)
     return materialize(ordered.mapInArrow(run, "part int, segment long, first long, n_ids long, doc_ids array<long>, starts array<long>, code binary"), "dac")
 
 
@@ -172,14 +175,12 @@ def read_documents(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 code, starts = Code(row["code"]), [*row["starts"], row["n_ids"]]
-                ids = code.slice(0, code.size).astype("<u4")
-                sizes_ = np.diff(starts)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": pa.array(row["doc_ids"], pa.int64()),
                         "start": pa.array([row["before"] + row["first"] + x for x in starts[:-1]], pa.int64()),
-                        "n_tokens": pa.array(sizes_, pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(starts[:-1], sizes_, strict=True)], pa.int64()),
+                        "n_tokens": pa.array(np.diff(starts), pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(code.slice(a, b).astype("<u4", copy=False)) for a, b in pairwise(starts)], pa.int64()),
                     }
                 )
 
