@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import SPACE_CLASS, materialize, small_side
+from lumenloom.llm.common import BROADCAST_ROWS, SPACE_CLASS, fresh, materialize, small_side
 
 #: log2 of the sketch's buckets: a relative error of about 1.04 / sqrt(256) = 6.5 %.
 SKETCH_BITS = 8
@@ -32,7 +32,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def spread(lines: DataFrame, threshold: int, sketch_bits: int = SKETCH_BITS, near: float = NEAR) -> DataFrame:
-    """h1, h2 of the lines whose spread is at least ``threshold``; ``lines``: h1, h2, site (null: no site).
+    """h1, h2 of the lines whose spread is at least ``threshold``, as a written table; ``lines``: h1, h2, site (null: no site).
 
     A line that occurs fewer times than the threshold cannot reach it and gets no sketch.
     """
@@ -46,30 +46,35 @@ def spread(lines: DataFrame, threshold: int, sketch_bits: int = SKETCH_BITS, nea
     # filtered where the rows are and made distinct before they move, so a hot line sends a row a site and task
     pairs = again.join(small_side(materialize(unsure, "unsure")), ["h1", "h2"], "left_semi").distinct()
     exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites"))
-    return sure.unionByName(exact.where(F.col("sites") >= threshold).select("h1", "h2"))
+    return materialize(sure.unionByName(exact.where(F.col("sites") >= threshold).select("h1", "h2")), "spread")
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", threshold: int = 5, min_words: int = 4) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", threshold: int = 5, min_words: int = 4, broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """All columns of ``docs``, ``text`` without boilerplate lines, and n_lines, n_removed (long).
 
     A boilerplate line stays in the document of the smallest doc_id that holds it (there every time it
     occurs), so the last copy of a passage is never lost. Other lines keep their place, blank ones
     included. Null text stays null with no line; rows without site or doc_id count no site and lose
-    nothing; columns named n_lines or n_removed are replaced.
+    nothing; columns named n_lines or n_removed are replaced. Texts only move between tasks where the lines to
+    remove are more than ``broadcast``.
     """
     base = docs.drop("n_lines", "n_removed")
     wanted = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(site).cast("string").alias("site"), F.col("text").cast("string").alias("text"))
     lines = materialize(_lines(wanted.where("doc_id IS NOT NULL"), min_words), "lines")
-    common = materialize(spread(lines, threshold), "spread")
-    held = lines.join(small_side(common), ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id", "version", "pos")
-    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    gone = held.join(first, ["h1", "h2"]).where("doc_id > first")
-    gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
-    joined = base.join(gone, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__version")), "left")
-    parts = joined.withColumn("__parts", F.split("text", "\n")).withColumn("__ends", F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size("__parts"))))
+    common = small_side(spread(lines, threshold), broadcast)
+    first = lines.join(common, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+    # occurrences of a line, however many, stay where they are and meet a row for each boilerplate line
+    gone = lines.join(small_side(materialize(first, "first"), broadcast), ["h1", "h2"]).where("doc_id > first")
+    doc, version, at, parts, ends = (fresh(base.columns, x) for x in ("gone_doc", "gone_version", "gone_at", "gone_parts", "gone_ends"))
+    gone = gone.groupBy(F.col("doc_id").alias(doc), F.col("version").alias(version)).agg(F.array_sort(F.collect_set("pos")).alias(at))
+    gone = materialize(gone, "gone")
+    if (gone.agg(F.sum(F.size(at))).first()[0] or 0) <= broadcast:
+        gone = F.broadcast(gone)
+    joined = base.join(gone, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(version)), "left")
+    joined = joined.withColumn(parts, F.split("text", "\n")).withColumn(ends, F.concat(F.array(F.lit(-1)), at, F.array(F.size(parts))))
     # the runs of lines between removed ones
-    runs = F.expr("flatten(transform(sequence(1, size(__ends) - 1), i -> slice(__parts, __ends[i - 1] + 2, __ends[i] - __ends[i - 1] - 1)))")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(runs, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__parts"))
-    removed = F.coalesce(F.size("__gone"), F.lit(0))
-    return parts.select(*[text.alias(c) if c == "text" else F.col(c) for c in base.columns], n_lines.cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
+    runs = F.expr(f"flatten(transform(sequence(1, size({ends}) - 1), i -> slice({parts}, {ends}[i - 1] + 2, {ends}[i] - {ends}[i - 1] - 1)))")
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(runs, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines")
+    n_removed = F.when(F.col(at).isNull(), 0).otherwise(F.size(at)).cast("long").alias("n_removed")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in base.columns], n_lines, n_removed)
