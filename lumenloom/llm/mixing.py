@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import SPACE_CLASS, materialize
+from lumenloom.llm.common import SPACE_CLASS, fresh, materialize
 
 #: Hash bits, and the bits that each level's histogram resolves.
 HASH_BITS, LEVEL_BITS = 60, (12, 12, 36)
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     size: words of the text (null: 0). A document is taken ``copies`` times: floor(target / source_size)
     times, and once more if its hash is below its source's threshold for the rest of the target. Rows of
     one doc_id stand or fall together; a null doc_id or source is a value of its own; a source without
-    words has target 0 and is not taken; an empty table gives no row.
+    words has target 0 and is not taken; an empty table gives no row. Targets are found over one row a source.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     base = docs.drop(*made)
@@ -106,11 +106,12 @@ def mix(docs: DataFrame, cap: int = 3) -> DataFrame:
     sizes = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     parts = source_targets(sizes, float(cap)).withColumn("whole", F.floor(ratio).cast("int")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = thresholds(sized, parts).select(F.col("source").alias("s"), "source_size", "target", "whole", "threshold")
+    of, whole, threshold, place_ = (fresh(base.columns, x) for x in ("mix_source", "mix_whole", "mix_threshold", "mix_place"))
+    plan = thresholds(sized, parts).select(F.col("source").alias(of), "source_size", "target", F.col("whole").alias(whole), F.col("threshold").alias(threshold))
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     # the row's own size and hash are cheap next to carrying it through a join by row
-    rows = base.withColumn("size", count_words(F.col("text"))).withColumn("__hash", place(F.col("doc_id")))
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.least(F.lit(cap), F.col("whole") + F.when(F.col("__hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*base.columns, *made)
+    rows = base.withColumn("size", count_words(F.col("text"))).withColumn(place_, place(F.col("doc_id")))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col(of)))
+    copies = F.least(F.lit(cap), F.col(whole) + F.when(F.col(place_) < F.col(threshold), 1).otherwise(0)).cast("int")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select(*[F.col(f"`{c}`") for c in base.columns], *made)
