@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import SPACE_CLASS, words
+from lumenloom.llm.common import SPACE_CLASS, fresh, words
 
 WINDOW_WORDS = 8
 SYMBOLS = "#*$%&|<>"
@@ -58,19 +58,19 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
     base = docs.drop(*made)
-    hold = "__ledger"
+    hold, win, srt, again_ = (fresh(base.columns, x) for x in ("ledger_held", "ledger_windows", "ledger_sorted", "ledger_again"))
     lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(rf"[^{SPACE_CLASS[1:-1]}]"))
     first = base.withColumn(hold, F.struct(words(F.col(text)).alias("words"), lines.alias("lines"), F.length(F.regexp_replace(raw, f"[^{SYMBOLS}]+", "")).alias("symbols")))
     second = first.withColumn(hold, F.struct(F.size(f"{hold}.words").alias("n"), F.length(F.array_join(f"{hold}.words", "")).alias("chars"), f"{hold}.symbols", F.size(f"{hold}.lines").alias("lines"), F.size(F.array_distinct(f"{hold}.lines")).alias("distinct"), F.transform(f"{hold}.words", lambda w: F.xxhash64(w)).alias("hashes")))
     windows = f"transform(sequence(1, greatest(1, {hold}.n - {WINDOW_WORDS - 1})), i -> xxhash64(slice({hold}.hashes, i, {WINDOW_WORDS})))"
-    third = second.withColumn("__windows", F.expr(f"CASE WHEN {hold}.n >= {WINDOW_WORDS} THEN {windows} ELSE array() END"))
+    third = second.withColumn(win, F.expr(f"CASE WHEN {hold}.n >= {WINDOW_WORDS} THEN {windows} ELSE array() END"))
     # positions of windows that occur again: neighbours in hash order; skipped where all are distinct
-    fourth = third.withColumn("__sorted", F.expr("CASE WHEN size(array_distinct(__windows)) < size(__windows) THEN array_sort(transform(__windows, (h, i) -> struct(h, i))) ELSE array() END"))
-    again = "transform(filter(__sorted, (x, k) -> x.h = get(__sorted, k - 1).h OR x.h = get(__sorted, k + 1).h), x -> x.i)"
-    fifth = fourth.withColumn("__again", F.expr(f"CASE WHEN size(__sorted) > 0 THEN array_sort({again}) ELSE array() END"))
-    covered = f"aggregate(__again, struct(-{WINDOW_WORDS} AS last, 0 AS n), (s, p) -> struct(p AS last, s.n + least({WINDOW_WORDS}, p - s.last) AS n), s -> s.n)"
+    fourth = third.withColumn(srt, F.expr(f"CASE WHEN size(array_distinct({win})) < size({win}) THEN array_sort(transform({win}, (h, i) -> struct(h, i))) ELSE array() END"))
+    again = f"transform(filter({srt}, (x, k) -> x.h = get({srt}, k - 1).h OR x.h = get({srt}, k + 1).h), x -> x.i)"
+    fifth = fourth.withColumn(again_, F.expr(f"CASE WHEN size({srt}) > 0 THEN array_sort({again}) ELSE array() END"))
+    covered = f"aggregate({again_}, struct(-{WINDOW_WORDS} AS last, 0 AS n), (s, p) -> struct(p AS last, s.n + least({WINDOW_WORDS}, p - s.last) AS n), s -> s.n)"
     return fifth.select(
-        *[c for c in base.columns],
+        *[F.col(f"`{c}`") for c in base.columns],
         F.col(f"{hold}.n").cast("long").alias("n_words"),
         F.col(f"{hold}.chars").cast("long").alias("word_chars"),
         F.col(f"{hold}.symbols").cast("long").alias("n_symbols"),
