@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenloom.llm.common import python_ready
+from lumenloom.llm.common import materialize, python_ready, small_side
 
-#: Hashed trigrams; the model is (languages x 2**FEATURE_BITS) numbers whatever the corpus.
-FEATURE_BITS = 16
+#: Hashed trigrams: 2**FEATURE_BITS of them, fewer where the model (languages x trigrams) would pass MODEL_SIZE numbers.
+FEATURE_BITS, MODEL_SIZE = 16, 1 << 24
 #: The bounded sample of labelled documents: about so many a language, chosen by hash over all rows.
 TRAIN_DOCS = 2000
-MAX_LANGUAGES = 200
 ROUNDS = 15
+#: Where one language and all of them are so near to each other by penalised likelihood, EM goes on.
+NEARLY, MORE_ROUNDS = 8.0, 300
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 
@@ -33,16 +34,16 @@ _letters: np.ndarray | None = None
 def _is_letter() -> np.ndarray:
     global _letters
     if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000)
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _letters
 
 
-def trigrams(text: str | None) -> np.ndarray | None:
-    """Hashes of the trigrams of lower-cased letters, runs of anything else as one space; None without a letter."""
+def trigrams(text: str | None, bits: int = FEATURE_BITS) -> np.ndarray | None:
+    """Hashes of ``bits`` bits of the trigrams of lower-cased letters, runs of anything else as one space; None without a letter."""
     if not text:
         return None
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _is_letter()[np.minimum(cp, 0x2FFFF)] | (cp > 0x2FFFF)
+    letter = _is_letter()[cp]
     if not letter.any():
         return None
     cp = np.where(letter, cp, np.uint32(32))
@@ -52,7 +53,7 @@ def trigrams(text: str | None) -> np.ndarray | None:
     cp = cp[keep]
     h = cp[:-2] * np.uint32(0x9E3779B1) ^ cp[1:-1] * np.uint32(0x85EBCA77) ^ cp[2:] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return h >> np.uint32(32 - FEATURE_BITS)
+    return h >> np.uint32(32 - bits)
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,10 @@ class Model:
     languages: tuple[str, ...]
     log_p: np.ndarray
 
+    @property
+    def bits(self) -> int:
+        return len(self.log_p).bit_length() - 1
+
 
 @dataclass(frozen=True)
 class Mixture:
@@ -73,11 +78,11 @@ class Mixture:
     confidence: float
 
 
-def _em(p: np.ndarray, counts: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
+def _em(p: np.ndarray, counts: np.ndarray, pi: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     n = counts.sum()
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         new = pi * ((counts / (p @ pi)) @ p) / n
-        done = np.abs(new - pi).max() < 1e-4
+        done = np.abs(new - pi).max() < (1e-4 if rounds == ROUNDS else 1e-6)
         pi = new
         if done:
             break
@@ -98,6 +103,10 @@ def infer(model: Model, grams: np.ndarray) -> Mixture:
     confidence = float(1 / likely.sum())
     if len(single) > 1:
         full, ll = _em(p, counts, np.full(len(single), 1 / len(single)))
+        rounds = ROUNDS
+        if best - NEARLY < ll - penalty <= best + NEARLY:  # it hangs on the last digits of the likelihood
+            rounds = MORE_ROUNDS
+            full, ll = _em(p, counts, full, rounds)
         # no smaller set is likelier than all languages together
         if ll - penalty > best:
             order = np.argsort(-full, kind="stable")
@@ -105,13 +114,13 @@ def infer(model: Model, grams: np.ndarray) -> Mixture:
                 within = order[:size]
                 if ll - penalty * (size - 1) <= best:
                     break
-                pi, got = _em(p[:, within], counts, full[within] / full[within].sum()) if size < len(order) else (full[within], ll)
+                pi, got = _em(p[:, within], counts, full[within] / full[within].sum(), rounds) if size < len(order) else (full[within], ll)
                 if got - penalty * (size - 1) > best:
                     best, chosen = got - penalty * (size - 1), np.zeros(len(order))
                     chosen[within] = pi
             if np.count_nonzero(chosen) > 1:
                 confidence = float(chosen.max())
-    return Mixture(chosen, base + best, n, confidence)
+    return Mixture(chosen, base + best + penalty * (np.count_nonzero(chosen) - 1), n, confidence)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,6 +128,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def feature_bits(languages: int) -> int:
+    """Bits of a trigram's hash in a model of so many languages."""
+    return max(8, min(FEATURE_BITS, (MODEL_SIZE // max(languages, 1)).bit_length() - 1))
+
+
 def train(labelled: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
     """Model from whole texts of ``labelled`` (key, text, lang); None without a labelled letter.
 
@@ -127,28 +141,28 @@ def train(labelled: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
     spark = labelled.sparkSession
     python_ready(spark)
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    sizes = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = tuple(sorted(r["lang"] for r in sizes.select("lang").collect()))  # one row a language
+    if not languages:
         return None
-    languages = tuple(sorted(sizes))
+    bits = feature_bits(len(languages))
     spot = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("langid")), F.lit(1 << 30))
-    chance = F.element_at(F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(int(min(1.0, sample / sizes[lang]) * (1 << 30))))]), F.col("lang"))
+    chance = sizes.select("lang", (F.least(F.lit(1.0), F.lit(sample) / F.col("n")) * (1 << 30)).cast("long").alias("chance"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if (grams := trigrams(text)) is not None:
-                    sums[lang] = sums.get(lang, 0) + np.bincount(grams, minlength=1 << FEATURE_BITS)
+                if (grams := trigrams(text, bits)) is not None:
+                    sums[lang] = sums.get(lang, 0) + np.bincount(grams, minlength=1 << bits)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], names=["lang", "feature", "n"])
 
-    some = labelled.where(spot < chance).select("lang", "text").repartition(8)
+    some = labelled.join(small_side(chance), "lang").where(spot < F.col("chance")).select("lang", "text").repartition(8)
+    # at most MODEL_SIZE rows
     counts = some.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((1 << FEATURE_BITS, len(languages)))
+    table = np.zeros((1 << bits, len(languages)))
     if counts.num_rows:
         column = {lang: k for k, lang in enumerate(languages)}
         table[counts["feature"].to_numpy(), [column[x] for x in counts["lang"].to_pylist()]] = counts["n"].to_numpy()
@@ -156,7 +170,7 @@ def train(labelled: DataFrame, sample: int = TRAIN_DOCS) -> Model | None:
     if not len(seen):
         return None
     table = table[:, seen]
-    log_p = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (1 << FEATURE_BITS)))
+    log_p = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * (1 << bits)))
     return Model(tuple(languages[k] for k in seen), log_p.astype(np.float32))
 
 
@@ -175,13 +189,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                grams = trigrams(text) if model else None
+                grams = trigrams(text, model.bits) if model else None
                 if grams is None:
                     rows.append((UNDETERMINED, 0.0, [], False))
                     continue
                 got = infer(model, grams)
                 shares = [(model.languages[k], float(got.proportions[k])) for k in np.flatnonzero(got.proportions)]
-                fits = got.log_likelihood > -got.size * np.log(1 << FEATURE_BITS)
+                fits = got.log_likelihood > -got.size * np.log(len(model.log_p))
                 rows.append((model.languages[int(np.argmax(got.proportions))], min(1.0, got.confidence), shares, bool(fits)))
             columns = [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True)] if rows else [pa.array([], t.type) for t in list(schema)[1:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], schema=schema)
@@ -203,9 +217,9 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             keep = []
             for text in batch.column("text").to_pylist():
-                grams = trigrams(text)
+                grams = trigrams(text, model.bits)
                 got = None if grams is None else infer(model, grams)
-                keep.append(got is not None and got.log_likelihood > -got.size * np.log(1 << FEATURE_BITS))
+                keep.append(got is not None and got.log_likelihood > -got.size * np.log(len(model.log_p)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
