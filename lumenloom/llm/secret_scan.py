@@ -1,10 +1,11 @@
 """Secrets in text: fixed patterns, and assignment-aware lexing.
 
 Patterns: assignments to a tell-tale name, access keys and long hexadecimal runs. The lexer reads source
-and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``, ``name := 'a' + "b"``, ``<name>x</name>``) into
-pairs of a name and a literal. A name that is assigned another name takes over that name's literals, so
-a constant is followed to a sensitive name that it ends in. A literal's score is its target's
-sensitivity times its own randomness; from the threshold on, its span is reported.
+and configuration syntax (``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``, ``name := 'a' + "b"``,
+``<name>x</name>``, ``login(user, "x")``) into pairs of a name and a literal. A name that is assigned another name, or called
+with it, takes over that name's literals, so a constant is followed to a sensitive name that it ends in. Names are
+told by their whole parts (``authToken``: auth, token; ``authors``: none). A literal's score is its target's
+sensitivity times its own randomness; from the threshold on, its span is reported, or stands by the fixed pattern that covers it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,13 +39,18 @@ _JOIN = re.compile(rf"\x20*(?:\+|\.\.?)?\x20*(?P<value>{_LITERAL})|\x20*(?:\+|\.
 _TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>")
 _IDENTIFIER = re.compile(_NAME + r"\Z")
 
-#: Parts of sensitive names and how much they say.
+_CALL = re.compile(rf"(?<![A-Za-z0-9_.-])(?P<callee>{_NAME})\((?P<arguments>(?:{_LITERAL}|[^()\n\"'`])*+)\)")
+_ARGUMENT = re.compile(rf"(?P<value>{_LITERAL})|(?P<name>{_NAME})(?!\x20*[=:(])")
+
+#: Whole parts of sensitive names and how much they say. ``key`` alone: a literal of mixed classes passes, a plain word (randomness 0.6 at most) cannot.
 SENSITIVITY = {
-    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "api_key": 1.0, "accesskey": 1.0, "access_key": 1.0,
-    "private_key": 1.0, "privatekey": 1.0, "credential": 0.9, "auth": 0.6, "signature": 0.5, "salt": 0.6, "bearer": 0.9, "client_key": 0.8, "encryption_key": 1.0, "key": 0.4,
+    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "pw": 0.9, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "secrets": 1.0, "token": 0.9, "tokens": 0.9, "apikey": 1.0, "accesskey": 1.0,
+    "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "signature": 0.5, "salt": 0.6, "bearer": 0.9, "key": 0.6, "login": 0.6, "authenticate": 0.8,
 }
-#: Of ``key`` as a whole part of a name: a literal of mixed classes can pass, a plain word (randomness 0.6 at most) cannot.
-KEY_PART = 0.6
+#: Parts that make of ``key`` after them a secret beyond doubt.
+KEY_OF = {"api": 1.0, "access": 1.0, "private": 1.0, "encryption": 1.0, "signing": 1.0, "client": 0.8, "auth": 0.9, "secret": 1.0}
+#: Last parts of names that speak about a secret and hold none; a name so ended counts two fifths.
+ABOUT = frozenset("count counts size length len type name id ids url uri path file hint policy limit max min format field column prefix suffix ttl expiry".split())
 #: Literals that stand for a secret and are none.
 PLACEHOLDERS = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|your[-_ ].*|<.*>|\$\{.*\}|\$[A-Z_]+|todo)\Z")
 THRESHOLD = 0.45
@@ -51,9 +58,9 @@ MIN_CHARS = 6
 
 
 def sensitivity(name: str) -> float:
-    folded = re.sub(r"[-.]", "_", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)).lower()
-    whole = KEY_PART if "key" in folded.split("_") else 0.0
-    return max([whole, *(w for part, w in SENSITIVITY.items() if part in folded)])
+    parts = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[-.]", "_", name).lower().split("_")
+    found = [SENSITIVITY.get(x, 0.0) for x in parts] + [KEY_OF.get(a, 0.0) for a, b in pairwise(parts) if b in ("key", "keys")]
+    return max(found) * (0.4 if len(parts) > 1 and parts[-1] in ABOUT else 1.0)
 
 
 def randomness(literal: str) -> float:
@@ -75,9 +82,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly or through other names."""
-    if "=" not in text and ":" not in text and "</" not in text:
+def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, name, score) of literals that reach a sensitive name, directly or through other names; of several names the one of the best score."""
+    if "=" not in text and ":" not in text and "</" not in text and "(" not in text:
         return []
     literals: dict[str, list[tuple[int, int]]] = {}
     refers: dict[str, list[str]] = {}
@@ -103,6 +110,14 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     if "</" in text:
         for m in _TAG.finditer(text):
             take(m["name"], m["value"], *m.span("value"))
+    if "(" in text:
+        for m in _CALL.finditer(text):
+            if sensitivity(m["callee"]):
+                for x in _ARGUMENT.finditer(text, *m.span("arguments")):
+                    if x["value"]:
+                        take(m["callee"], x["value"], *x.span("value"))
+                    else:
+                        refers.setdefault(m["callee"], []).append(x["name"])
     score: dict[str, float] = {}  # a name's sensitivity flows to the names it was assigned from
     todo = sorted((w, x) for x in {*literals, *refers} if (w := sensitivity(x)) > 0)
     while todo:  # the most sensitive first
@@ -111,19 +126,21 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             continue
         score[name] = weight
         todo += [(weight, x) for x in dict.fromkeys(refers.get(name, ())) if x in literals or x in refers]
-    found = set()
+    found: dict[tuple[int, int], tuple[float, str]] = {}
     for name, weight in score.items():
         for start, end in literals.get(name, ()):
             value = text[start:end]
-            if end - start >= MIN_CHARS and value not in literals and value not in refers and not PLACEHOLDERS.match(value) and weight * randomness(value) >= THRESHOLD:
-                found.add((start, end))
-    return sorted(found)
+            if end - start >= MIN_CHARS and value not in literals and value not in refers and not PLACEHOLDERS.match(value):
+                got = weight * randomness(value)
+                if got >= THRESHOLD and got > found.get((start, end), (0.0, ""))[0]:
+                    found[start, end] = got, name
+    return [(*span, name, got) for span, (got, name) in sorted(found.items())]
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans (start, end, kind) by start, kind as listed, end; code points, end exclusive.
+def spans(text: str | None) -> list[tuple[int, int, str, str | None, float | None]]:
+    """All spans (start, end, kind, name, score) by start, kind as listed, end; code points, end exclusive.
 
-    A lexed literal is left out where a fixed pattern already covers all of it.
+    A lexed literal that a fixed pattern covers gives that span its name and score and is no span of its own.
     """
     if not text:
         return []
@@ -131,21 +148,31 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     starts, reach = [x[0] for x in base], []
     for x in base:
         reach.append(max(x[1], reach[-1] if reach else 0))
-    extra = [(a, b, "lexed") for a, b in lexed_spans(text) if not ((k := bisect_right(starts, a)) and reach[k - 1] >= b)]
-    return sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    said: dict[int, tuple[str, float]] = {}
+    extra = []
+    for a, b, name, score in lexed_spans(text):
+        k = bisect_right(starts, a)
+        if k and reach[k - 1] >= b:
+            at = next(i for i in range(k - 1, -1, -1) if base[i][1] >= b)
+            said.setdefault(at, (name, score))
+        else:
+            extra.append((a, b, "lexed", name, score))
+    return sorted([(*x, *said.get(i, (None, None))) for i, x in enumerate(base)] + extra, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and spans (array of start, end, kind) of whole texts; null and empty texts have none.
+    """doc_id and spans (array of start, end, kind, name, score) of whole texts; null and empty texts have none.
+
+    name and score: the sensitive name that the lexer found for the literal, null where a fixed pattern stands alone.
 
     Rows of equal or null doc_id are rows of their own, other columns are ignored, an empty table gives no row.
     """
     python_ready(docs.sparkSession)
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"start": a, "end": b, "kind": k} for a, b, k in spans(x)] for x in batch.column("text").to_pylist()]
+            found = [[{"start": a, "end": b, "kind": k, "name": n, "score": s} for a, b, k, n, s in spans(x)] for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int,kind:string>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int,kind:string,name:string,score:double>>")
