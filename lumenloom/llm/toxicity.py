@@ -3,8 +3,8 @@
 One linear model (L2-regularised logistic regression on the presence of words and word beginnings) for each category, in a
 fixed order; each sees, besides the words, the probabilities of the categories before it. While training,
 those are out-of-fold: a document's probability comes from models that never saw it, so later models
-learn how far earlier ones can be trusted. The vocabulary is the words that speak most for
-some category, over all documents of the labelled sample.
+learn how far earlier ones can be trusted. The vocabulary of a model is the words that speak most for
+some category, over the documents that the model is fitted on: each fold's models choose their own words without it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lumenloom.llm.common import materialize, python_ready
 
 #: The bounded sample of labelled rows to fit on, chosen by hash over all of them.
 TRAIN_ROWS = 8_000
-#: Words of the model, and the fewest documents one must occur in.
+#: Words of a model (its size; texts are read whole), and the fewest documents of the sample one must occur in.
 MAX_WORDS, MIN_DOCS = 300, 8
 FOLDS = 4
 RIDGE = 0.3
@@ -88,16 +88,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int
     return w
 
 
-def fit_chain(words: tuple[str, ...], x: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
-    """Chain from presence rows ``x``, label columns in chain order and fold numbers."""
+def fit_chain(words: tuple[str, ...], x: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...], chosen: dict[int | None, np.ndarray] | None = None) -> Chain:
+    """Chain from presence rows ``x``, label columns in chain order and fold numbers.
+
+    ``chosen``: columns of ``x`` for the models that leave out a fold, and under None for the final ones, whose words
+    are ``words``; without it all models see all columns.
+    """
+    columns = lambda f: slice(None) if chosen is None else chosen[f]
     earlier, weights, limits = np.zeros((len(x), 0), np.float32), [], []
     for k in range(labels.shape[1]):
-        features = np.hstack([x, earlier]).astype(np.float32)
         y = labels[:, k].astype(np.float32)
-        whole = fit_logistic(features, y)
-        weights.append(whole.astype(np.float64))
+        weights.append(fit_logistic(np.hstack([x[:, columns(None)], earlier]), y).astype(np.float64))
         apart = np.zeros(len(x), np.float32)
-        for f in np.unique(fold):
+        for f in np.unique(fold).tolist():
+            features = np.hstack([x[:, columns(f)], earlier])
             w = fit_logistic(features[fold != f], y[fold != f])
             apart[fold == f] = _sigmoid(features[fold == f] @ w[:-1] + w[-1])
         earlier = np.hstack([earlier, apart[:, None]])
@@ -116,7 +120,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray, default: float = 0.5) -> float:
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, rows: int = TRAIN_ROWS) -> Chain:
     """Fit on about ``rows`` labelled documents. Documents without a label or id, and null labels, do not count.
 
-    Several labels of one doc_id are merged by the greatest of each category.
+    Several labels of one doc_id are merged by the greatest of each category; of its several texts the least counts.
     """
     python_ready(docs.sparkSession)
     names = tuple(n for n, _ in categories)
@@ -125,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     total = marked.count()
     spot = lambda salt: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 30))
     some = marked.where(spot("sample") < int(min(1.0, rows / max(total, 1)) * (1 << 30)))
-    # the sample is bounded, and so is its broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # the sample is bounded, and so is its broadcast; of several texts of a doc_id the least counts
+    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,20 +139,31 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
 
     shape = "doc_id long, " + ", ".join(f"{n} int" for n in names) + ", words array<string>"
     held = materialize(sample.mapInArrow(presence, shape), "toxicity-sample")
-    n, *base = held.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
-    # how far a word's documents exceed a category's share, in standard errors
-    per = held.select(F.explode("words").alias("word"), *names).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in names])
-    stray = F.greatest(F.lit(0.0), *[(F.col(c) - F.col("df") * F.lit(b / max(n, 1))) / F.sqrt(F.col("df") * F.lit(max(b / max(n, 1) * (1 - b / max(n, 1)), 1e-9))) for c, b in zip(names, base, strict=True)])
-    chosen = per.where(F.col("df") >= MIN_DOCS).withColumn("stray", stray).orderBy(F.desc("stray"), "word").limit(MAX_WORDS)
-    words = tuple(sorted(r["word"] for r in chosen.select("word").collect()))
-    column = {w: k for k, w in enumerate(words)}
-    known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    got = held.select("doc_id", spot("fold").alias("spot"), *names, F.array_intersect("words", known).alias("words")).orderBy("doc_id").toArrow().to_pylist()
-    x = np.zeros((len(got), len(words)), np.float32)
+    fold = F.pmod(spot("fold"), F.lit(FOLDS)).cast("int")
+    sums = [F.count(F.lit(1)).alias("df"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]]
+    sizes = {r["fold"]: np.array([r["df"], *(r[c] for c in names)], np.float64) for r in held.groupBy(fold.alias("fold")).agg(*sums).collect()}
+    total = sum(sizes.values(), np.zeros(1 + len(names)))
+    per = materialize(held.select(F.explode("words").alias("word"), fold.alias("fold"), *names).groupBy("word", "fold").agg(*sums), "toxicity-words")
+
+    def best(without: int | None) -> list[str]:
+        """Words whose documents, but for a fold, exceed a category's share by most standard errors."""
+        n, *base = total - sizes.get(without, 0)
+        kept = per.where(F.lit(True) if without is None else F.col("fold") != without).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("df", *names)])
+        share = [b / max(n, 1) for b in base]
+        stray = F.greatest(F.lit(0.0), *[(F.col(c) - F.col("df") * F.lit(float(s))) / F.sqrt(F.col("df") * F.lit(float(max(s * (1 - s), 1e-9)))) for c, s in zip(names, share, strict=True)])
+        return [r["word"] for r in kept.where(F.col("df") >= MIN_DOCS).withColumn("stray", stray).orderBy(F.desc("stray"), "word").limit(MAX_WORDS).select("word").collect()]
+
+    by_fold = {f: best(f) for f in [None, *sorted(sizes)]}
+    every = sorted(set().union(*by_fold.values()))
+    column = {w: k for k, w in enumerate(every)}
+    chosen = {f: np.array(sorted(column[w] for w in found), np.int64) for f, found in by_fold.items()}
+    known = F.array(*[F.lit(w) for w in every]) if every else F.array().cast("array<string>")
+    got = held.select("doc_id", fold.alias("fold"), *names, F.array_intersect("words", known).alias("words")).orderBy("doc_id").toArrow().to_pylist()
+    x = np.zeros((len(got), len(every)), np.float32)
     for i, r in enumerate(got):
         x[i, [column[w] for w in r["words"]]] = 1
     y = np.array([[r[c] for c in names] for r in got], np.float32).reshape(len(got), len(names))
-    return fit_chain(words, x, y, np.array([r["spot"] % FOLDS for r in got]), names)
+    return fit_chain(tuple(every[k] for k in chosen[None]), x, y, np.array([r["fold"] for r in got], np.int64), names, chosen)
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
