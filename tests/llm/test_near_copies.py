@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_text_operators import WORD, frame
 
 import corpus_pipeline
@@ -52,10 +53,11 @@ def edited():
     return rows
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("chunk", [3, near_copies.CHUNK])
+def test_components_equal_brute_force(spark, chunk):
     rows = edited()
     df = frame(spark, [(i, t, "s") for i, t in rows])
-    got = sorted((r.doc_id, r.component_id) for r in near_copies.components(df).collect())
+    got = sorted((r.doc_id, r.component_id) for r in near_copies.components(df, chunk=chunk).collect())
     assert got == brute(rows)
     assert near_copies.components(df.limit(0)).count() == 0
 
@@ -70,3 +72,7 @@ def test_stage_removes_copies_that_two_bits_do_not_reach(spark, sf_dir):
     stay = corpus_pipeline.near_dedup(spark, df, sf_dir)
     assert stay.columns == df.columns
     assert sorted((r.doc_id for r in stay.collect()), key=repr) == [1, 3, None]
+
+
+def test_radius_grows_as_similarity_falls():
+    assert near_copies.radius(1.0) == 0 < near_copies.radius(0.9) < near_copies.radius(0.8) <= 26

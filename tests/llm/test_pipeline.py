@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
-from test_text_operators import WORD, brute_components, brute_fingerprint, brute_spread, brute_targets
+from test_near_copies import brute as brute_copies
+from test_text_operators import CLASHES, WORD, brute_spread, brute_targets
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenloom.llm import queries
@@ -43,12 +45,11 @@ def test_stages(spark, fixture, sf_dir):
 
     apart = materialize(stages["near_dedup"](spark, cut, sf_dir), "t3")
     before = [r for r in rows_of(cut) if r[0] is not None]
-    root = brute_components([brute_fingerprint(r[1]) for r in before])
-    least = {}
-    for r in before:
-        k = root[brute_fingerprint(r[1])]
-        least[k] = min(r[0], least.get(k, r[0]))
-    assert sorted((r[0] for r in rows_of(apart)), key=repr) == sorted([*least.values(), None], key=repr)
+    # rows of one doc_id are told apart by their text
+    known = sorted({(r[0], r[1]) for r in before}, key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+    component = dict(brute_copies([(i, t) for i, (_, t) in enumerate(known)]))
+    want = sorted([known[i][0] for i in set(component.values())] + [None] * sum(r[0] is None for r in rows_of(cut)), key=repr)
+    assert sorted((r[0] for r in rows_of(apart)), key=repr) == want
 
     mixed = materialize(stages["source_mix"](spark, apart, sf_dir), "t4")
     before, after = rows_of(apart), collections.Counter(rows_of(mixed))
@@ -77,6 +78,19 @@ def test_stages_take_empty_tables_and_other_columns(spark, fixture, sf_dir):
     docs = fixture.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+    other = [F.lit(k).alias(c) for k, c in enumerate(CLASHES)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, fixture.select("*", *other), sf_dir)
+        assert got.columns == [*fixture.columns, *CLASHES], name
+        assert sorted(map(repr, rows_of(got))) == sorted(map(repr, rows_of(stage(spark, fixture, sf_dir)))), name
+    assert corpus_pipeline.packing_stage(spark, fixture.select("*", *other), sf_dir).count() > 0
+
+
+def test_language_stage_keeps_languages_and_rejects_noise(spark, fixture, sf_dir):
+    noise = [(7000, "xq7 zzkw qqj " * 40, "en", "s", 9), (7001, "\U000f0000 1 2", "en", "s", 9)]
+    got = corpus_pipeline.language_id(spark, fixture.unionByName(spark.createDataFrame(noise, fixture.schema)), sf_dir)
+    assert got.where("doc_id >= 7000").count() == 0
+    assert got.where("doc_id < 5000").count() == fixture.where("doc_id < 5000").count()
 
 
 def test_run_is_registered(spark, sf_dir):

@@ -8,7 +8,7 @@ from lumenloom.llm import secret_scan
 @pytest.mark.parametrize("name", ["signing_key", "ssh_key", "STRIPE_KEY", "masterKey", "deploy-key", "key"])
 def test_random_literals_of_keys_are_found(name):
     text = f'{name} = "q7Zr-92LmX_v4TbN8sKd"'
-    assert [text[a:b] for a, b, kind in secret_scan.spans(text) if kind == "lexed"] == ["q7Zr-92LmX_v4TbN8sKd"]
+    assert [text[a:b] for a, b, kind, *_ in secret_scan.spans(text) if kind == "lexed"] == ["q7Zr-92LmX_v4TbN8sKd"]
 
 
 @pytest.mark.parametrize("text", ['signing_key = "identifier"', 'primary_key = "documents"', 'monkey = "q7Zr-92LmX_v4TbN8sKd"', 'keyboard = "q7Zr-92LmX_v4TbN8sKd"', 'signing_key = "changeme"'])

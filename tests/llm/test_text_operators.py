@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenloom.llm import digests, langid, line_spread, mixing, queries, rule_ledger, secret_scan, simhash, toxicity
+from lumenloom.llm import digests, langid, line_spread, mixing, near_copies, queries, rule_ledger, secret_scan, simhash, toxicity
 from lumenloom.operators.resolve import connected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, fingerprint string, n_lines string"
@@ -210,11 +210,28 @@ def test_links_lose_nothing(spark, hot):
 def test_pivot_table_bounds_distances():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, (2, 200), dtype=np.uint64)
-    pivots = np.array(simhash.PIVOTS, np.uint64)
-    gap = np.abs(np.bitwise_count(a[:, None] ^ pivots).astype(int) - np.bitwise_count(b[:, None] ^ pivots)).max(axis=1)
+    gap = np.abs(simhash.distance_table(a) - simhash.distance_table(b)).max(axis=1)
     assert (gap <= np.bitwise_count(a ^ b)).all()
 
 
+def test_pivot_table_discards_most_pairs_that_are_apart():
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << 63, dtype=np.uint64)
+    same = np.uint64(0xFFFFFFFF)  # as in one key: half of the bits agree
+    fps = np.concatenate([[one], (rng.integers(0, 1 << 63, 2000, np.uint64) & ~same) | (one & same)])
+    near, left = simhash.survivors(simhash.distance_table(fps), fps, 0, simhash.RADIUS)
+    assert left < 20 and all((fps[j] ^ fps[0]).bit_count() <= 2 for j in near)
+
+
+def test_group_keys_meet_within_two_bits():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64)
+        keys = simhash.group_keys(simhash.distance_table(np.array([a, b], np.uint64)))
+        assert (keys[0] == keys[1]).any()
+
+
 def test_near_duplicates(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = simhash.near_duplicates(odd).collect()
@@ -229,7 +246,32 @@ def test_near_duplicates(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
     stay = simhash.one_of_each(odd)
     assert stay.columns == odd.columns
-    assert sorted([r.doc_id for r in stay.collect()], key=repr) == sorted([None, *{v for k, v in least.items()}], key=repr)
+    assert sorted([r.doc_id for r in stay.collect()], key=repr) == sorted([None, *least.values()], key=repr)
+
+
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(11)
+    x, y, z = (" ".join(rng.choices("abcdefgh", k=40)) for _ in "xyz")
+    rows = [(1, x, "s"), (5, x, "s"), (5, y, "s"), (6, y, "s"), (7, z, "s"), (7, z, "s"), (8, None, "s"), (8, "", "s"), (9, None, "s"), (None, x, "s")]
+    for keep in (simhash.one_of_each, near_copies.one_of_each):
+        got = keep(frame(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, x), (5, y), (7, z), (8, ""), (None, x)], key=repr)
+
+
+CLASHES = "s threshold whole low below bucket cross row by one root version component_id name n fp band site pos h1 h2 first gone_doc gone_at gone_parts mix_source mix_place ledger_held ledger_windows __rows __parts doc k hash key held lang_pred score".split()
+
+
+@pytest.mark.parametrize("apply", [simhash.one_of_each, simhash.near_duplicates, near_copies.one_of_each, mixing.mix, line_spread.remove_boilerplate, rule_ledger.ledger, secret_scan.scan, digests.edit_digests, langid.identify])
+def test_other_columns_do_not_matter(odd, apply):
+    plain = odd.select("doc_id", "text", "source", "lang")
+    other = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    want, got = apply(plain), apply(other)
+    columns = [c for c in want.columns if want.schema[c].dataType.simpleString()[:3] not in ("map",)]
+    assert sorted(map(repr, want.select(columns).collect())) == sorted(map(repr, got.select(columns).collect()))
+    kept = [c for c in CLASHES if c in got.columns and c not in want.columns]
+    if "source" in want.columns:
+        assert set(kept) == {c for c in CLASHES if c not in want.columns}
+        assert {r[c] for r in got.collect() for c in kept[:1]} <= {CLASHES.index(kept[0])}
 
 
 # canonical digests
@@ -308,7 +350,7 @@ def test_base_spans_are_the_contracts(spark):
     ],
 )
 def test_lexer_follows_assignments(text, literal):
-    assert literal in [text[a:b] for a, b in secret_scan.lexed_spans(text)]
+    assert literal in [text[a:b] for a, b, _, _ in secret_scan.lexed_spans(text)]
 
 
 @pytest.mark.parametrize("text", ["the password is long", 'title = "A quiet Day-at 17"', "pwd = ${DB_PWD}", 'credential = "changeme"', "a = b\nb = a\nsecret = a", "time: 12:30, ratio = 0.5", ""])
@@ -327,6 +369,42 @@ def test_scan_rows(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_names_are_told_by_whole_parts():
+    high = ["authToken", "db_password", "API_KEY", "client.secret", "sshKey", "X-Auth-Token", "signing_key"]
+    none = ["authors", "salted_caramel", "tokenizer", "monkey", "keyboard", "secretary", "passenger"]
+    assert all(secret_scan.sensitivity(x) >= 0.6 for x in high) and not any(secret_scan.sensitivity(x) for x in none)
+    assert secret_scan.sensitivity("token_count") < secret_scan.THRESHOLD
+
+
+def test_literals_passed_to_sensitive_calls_are_found():
+    secret = "q7Zr-92LmX_v4TbN8sKd"
+    for text in (f'auth("{secret}")', f"PART = '{secret}'\nclient.login(user, PART)", f'set_password("bob", "{secret}")'):
+        assert [text[a:b] for a, b, kind, *_ in secret_scan.spans(text) if kind == "lexed"] == [secret]
+    assert not [x for x in secret_scan.spans(f'print("{secret}") range(a, b)') if x[2] == "lexed"]
+
+
+def test_lexer_names_the_base_spans_it_confirms():
+    got = secret_scan.spans('password = "q7Zr92LmXv4TbN8sKd"')
+    assert [(kind, name) for _, _, kind, name, _ in got] == [("assign", "password")] and got[0][4] > 0.8
+
+
+def test_planted_assignments_are_found_and_plain_ones_left():
+    rng = random.Random(3)
+    chars = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789-_"
+    literal = lambda: "".join(rng.choices(chars, k=20)) + "Q7"
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    forms = ['{n} = "{v}"', "{n}: {v}", '"{n}": "{v}"', "export {n}='{v}'", "<{n}>{v}</{n}>", 'base = "{v}"\n{n} = base', '{n} := "{v}"']
+    names = "db_passphrase signing_key authToken client.bearer my_credential ENC_SALT privateKey".split()
+    calm = "authors salted_caramel tokenizer title monkey release_notes colour primary_column".split()
+    found = lambda text: [text[a:b] for a, b, *_ in secret_scan.lexed_spans(text)]
+    hits = wrong = 0
+    for k in range(700):
+        v, n = literal(), names[k % 7]
+        hits += v in found(f"{word()} = 1\n" + forms[rng.randrange(7)].format(n=n, v=v) + f"\n{word()}: {word()}")
+        wrong += bool(found(forms[k % 7].format(n=calm[k % 8], v=literal())))
+    assert hits >= 0.97 * 700 and wrong == 0
+
+
 # language ID and toxicity
 
 
@@ -353,6 +431,69 @@ def test_mixtures_are_found_and_odd_texts_have_no_language(spark, sf_dir):
     assert [r.lang_pred for r in langid.predict(frame(spark, rows[:1]), None).collect()] == ["und"]
 
 
+def test_many_languages_and_code_points_that_are_no_letters(spark):
+    assert langid.trigrams("\U000f0000 \U000e0101 12") is None and langid.trigrams("\U00020000") is not None
+    rows = [(k, f"wort{k} " * 20, f"l{k % 300}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) > 200 and model.log_p.size <= langid.MODEL_SIZE
+    assert langid.feature_bits(5) == 16 and langid.feature_bits(1 << 12) == 12
+    assert langid.predict(docs, model).where("lang_pred = 'und'").count() == 0
+
+
+def brute_mixture(p, counts):
+    """Every set of languages, each by its own EM, from an even start; the set of the best penalised likelihood."""
+    import itertools
+
+    n, best = counts.sum(), (-np.inf, None)
+    for size in range(1, p.shape[1] + 1):
+        for chosen in itertools.combinations(range(p.shape[1]), size):
+            q, pi = p[:, chosen], np.full(size, 1 / size)
+            for _ in range(400):
+                share = q * pi
+                pi = (counts[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / n
+            score = counts @ np.log(q @ pi) - 0.5 * np.log(n) * (size - 1)
+            best = max(best, (score, dict(zip(chosen, pi, strict=True))), key=lambda x: x[0])
+    return best
+
+
+def test_mixtures_equal_brute_force_over_all_sets(spark, sf_dir):
+    docs = queries.documents(spark, sf_dir)
+    model = langid.learn(docs)
+    texts = [r.text[:400] for r in docs.orderBy("doc_id").limit(60).collect()]
+    texts += [a[:150] + " " + b[:150] for a, b in zip(texts[:20], texts[20:40], strict=True)]
+    same = 0
+    for text in texts:
+        grams = langid.trigrams(text)
+        got = langid.infer(model, grams)
+        feature, counts = np.unique(grams, return_counts=True)
+        score, shares = brute_mixture(np.exp(model.log_p[feature].astype(np.float64)), counts.astype(np.float64))
+        mine = got.log_likelihood - 0.5 * np.log(max(got.size, 2)) * (np.count_nonzero(got.proportions) - 1)
+        assert mine <= score + 0.05 and mine >= score - 1.0
+        same += int(np.argmax(got.proportions)) == max(shares, key=shares.get)
+    assert same >= len(texts) - 1
+
+
+def test_chain_on_labels_that_it_has_not_seen(spark):
+    folder = "/root/testdata/sf0.1"  # a tenth of it has too few toxic documents to learn from
+    docs, labels = queries.documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    chain = toxicity.train(docs, labels.where(~apart))
+    got = toxicity.classify(docs, chain).join(labels.where(apart).withColumnRenamed("toxic", "truth"), "doc_id").select("toxic", "truth").collect()
+    hits, all_toxic = sum(r.toxic and r.truth == 1 for r in got), sum(r.truth for r in got)
+    false = sum(r.toxic and r.truth == 0 for r in got)
+    print(len(got), all_toxic, hits, false)
+    assert all_toxic > 50 and hits >= 0.8 * all_toxic and false <= 0.03 * (len(got) - all_toxic)
+
+
+def test_words_of_a_fold_are_chosen_without_it():
+    x = np.eye(4, dtype=np.float32)[np.arange(400) % 4]
+    y = (np.arange(400) % 4 == 0).astype(np.float32)[:, None]
+    chosen = {None: np.array([0, 1]), **{f: np.array([0, 2]) for f in range(4)}}
+    chain = toxicity.fit_chain(("a", "b"), x, y, np.arange(400) // 100, ("p",), chosen)
+    assert len(chain.weights[0]) == 3 and chain.probabilities(np.array([0]))[0] > 0.9
+
+
 def test_chain_finds_toxic_words_of_unseen_documents(spark):
     rng = random.Random(5)
     calm = [f"w{k}" for k in range(60)]
