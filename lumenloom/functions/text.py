@@ -22,6 +22,11 @@ STOP_WORDS = (
 )
 
 
+def bind(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often a lambda asks for it."""
+    return F.transform(F.array(x), use)[0]
+
+
 def empty_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
@@ -61,10 +66,17 @@ def entity_id(kind: Column, species: Column, name: Column) -> Column:
     return F.concat_ws(":", kind, F.coalesce(empty_to_null(species), F.lit("na")), slug(name))
 
 
+def constant_map(pairs: dict) -> Column:
+    """A map of string literals (values: strings or tuples of strings) as one expression, which the optimiser folds to a constant."""
+    quoted = lambda x: "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    said = lambda v: "array(" + ", ".join(map(quoted, v)) + ")" if isinstance(v, tuple) else quoted(v)
+    return F.expr("map(" + ", ".join(x for k, v in pairs.items() for x in (quoted(k), said(v))) + ")")
+
+
 def fold_greek(x: Column) -> Column:
-    for letter, name in GREEK.items():
-        x = F.replace(x, F.lit(letter), F.lit(name))
-    return x
+    """Greek letters by their names; a text without any is left as it is."""
+    letters = F.transform(F.regexp_extract_all(x, F.lit("(?s)(.)"), 1), lambda c: F.coalesce(F.try_element_at(constant_map(GREEK), c), c))
+    return F.when(x.rlike("[" + "".join(GREEK) + "]"), F.array_join(letters, "")).otherwise(x)
 
 
 def squeeze(x: Column) -> Column:

@@ -58,7 +58,7 @@ def compatibility(a: Column, b: Column, cell: Column, cross_species: bool = Fals
     da, db = F.size(named_set(a["disease"])), F.size(named_set(b["disease"]))
     disease = F.when((da > 0) & (db > 0), overlap_score(a["disease"], b["disease"], 1.0, None)).when((da > 0) | (db > 0), 0.9).otherwise(1.0)
     product = overlap_score(a["species"], b["species"], 0.8, 0.4 if cross_species else None) * cell * disease * overlap_score(a["tissue"], b["tissue"], 0.95, 0.5 if transfer else None)
-    return F.struct(product.isNotNull().alias("compatible"), F.coalesce(F.round(F.least(product, F.lit(1.0)), 3), F.lit(0.0)).alias("score"))
+    return F.struct(product.isNotNull().alias("compatible"), F.when(product.isNotNull(), F.round(F.least(product, F.lit(1.0)), 3)).otherwise(0.0).alias("score"))
 
 
 def compatible_pairs(edges: DataFrame, closure: DataFrame, key: str = "edge_id", by: str = "dst") -> DataFrame:

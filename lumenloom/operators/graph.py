@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.runtime import materialize, small_side
+
 
 def nodes(edges: DataFrame) -> DataFrame:
     """node, out_degree, in_degree, pivot (in and out)."""
@@ -97,7 +99,8 @@ def rank_with_caps(candidates: DataFrame, order: list[Column], mediator: str, an
     """
     keyed = candidates.withColumn("__m", F.col(mediator).cast("string")).withColumn("__a", F.col(anchor).cast("string"))
     first = F.row_number().over(Window.partitionBy("__m", "__a").orderBy(*order)) <= min(per_mediator, per_anchor)
-    keyed = keyed.withColumn("__first", first).where("__first").drop("__first").orderBy(*order).coalesce(1)
+    keyed = materialize(keyed.withColumn("__first", first).where("__first").drop("__first"), "ranked")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes)
 
     def run(batches):
         used_m: dict[str, int] = {}
@@ -116,20 +119,27 @@ def rank_with_caps(candidates: DataFrame, order: list[Column], mediator: str, an
             if rank >= most:
                 return
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in candidates.dtypes)
-    return keyed.mapInPandas(run, f"{kinds}, rank long")
-
-
-def ancestors(tree: DataFrame, child: str, parent: str, depth: int = 32) -> DataFrame:
-    """node, ancestor, distance of an is-a forest, cycles cut off; a recursive query bounded by ``depth``."""
-    spark = tree.sparkSession
-    name = "__tree"
-    tree.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("p IS NOT NULL AND c <> p").createOrReplaceTempView(name)
-    found = spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, distance) AS (
-              SELECT c, p, 1 FROM {name}
-              UNION ALL
-              SELECT up.node, t.p, up.distance + 1 FROM up JOIN {name} t ON up.ancestor = t.c WHERE up.distance < {depth} AND t.p <> up.node)
-            SELECT node, ancestor, min(distance) AS distance FROM up GROUP BY node, ancestor"""
-    )
-    return found
+    # the pass over the best ``take`` rows is exact for them; it is repeated over more only if they do not fill the list
+    total, take = keyed.count(), 16 * most
+    while True:
+        done = materialize(keyed.orderBy(*order).limit(take).coalesce(1).mapInPandas(run, f"{kinds}, rank long"), "capped")
+        if take >= total or done.count() >= most:
+            return done
+        take *= 8
+
+
+def ancestors(tree: DataFrame, child: str, parent: str) -> DataFrame:
+    """node, ancestor, distance (the least) of an is-a graph of any depth; a node on a cycle is no ancestor of its own.
+
+    One join a level: pairs that are known are not followed again, so a graph with many paths costs its pairs only.
+    """
+    up = materialize(tree.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL AND c <> p").distinct(), "tree")
+    side = small_side(up)
+    last = up.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).alias("distance"))
+    found = last
+    while True:
+        step = last.join(side, F.col("ancestor") == F.col("c")).where("p <> node").select("node", F.col("p").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct()
+        last = materialize(step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "distance"), "level")
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)

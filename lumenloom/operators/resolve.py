@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text
-from lumenloom.runtime import materialize
+from lumenloom.runtime import BROADCAST_ROWS, materialize
 
 #: Identifier columns, strongest first, with their prefix in a paper id.
 IDS = (("doi", "doi:"), ("arxiv_id", "arxiv:"), ("pmid", "pmid:"), ("s2_id", "s2:"))
@@ -31,9 +31,11 @@ def connected(edges: DataFrame) -> DataFrame:
     last = of(edges)
     while True:
         both = edges.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # a hub's rows stay where they are where the table of least neighbours is short; else both sides are shuffled, which can be split
+        short = lambda table, name: F.broadcast(table) if 2 * last[0] <= BROADCAST_ROWS else materialize(table, name)
+        least = short(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = short(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lowest, "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.u", "e.v")
         edges = materialize(small.where("u <> v").distinct(), "stars")
         now = of(edges)

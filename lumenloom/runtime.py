@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where there is none."""
+    """The session's checkpoint folder; a local master without one gets one, a cluster must name its own."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lumenloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,3 +32,12 @@ def sweep(spark: SparkSession) -> None:
     """Delete this application's tables from the shared folder, when no DataFrame built on them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenloom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Most rows of fixed width (ids, hashes, counters) that are broadcast; a longer table is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written or cheap table of narrow rows as a join side: broadcast up to ``limit`` rows, else as it is."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

@@ -27,7 +27,7 @@ def test_similar_pairs_of_many_copies_and_of_all_documents(spark, sf_dir):
     rows = [(k, "alpha beta gamma delta") for k in range(60)] + [(60 + k, f"alpha beta gamma word{k}") for k in range(5)] + [(70, None), (71, "a b"), (72, "")]
     got = evidence.similar_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.3).collect()
     assert sorted((r.a, r.b, round(r.similarity, 6)) for r in got) == brute_similar(rows, 0.3)
-    got = [tuple(r) for r in catalogue.queries()["near_dup_jaccard_whole"](spark, sf_dir).collect()]
+    got = [tuple(r) for r in catalogue.queries()["near_dup_jaccard"](spark, sf_dir).collect()]
     assert sorted(got) == brute_similar([(r["doc_id"], r["text"]) for r in table(sf_dir, "documents")], 0.3)
 
 
@@ -45,9 +45,9 @@ def test_embedding_queries_are_all_ids_divisible_by_50(spark, sf_dir):
         order = sorted((-round(float(v), 9), i) for v, i in zip(c, ids, strict=True) if i != q)
         top += [(q, i, k + 1) for k, (_, i) in enumerate(order[:3])]
         first.append(next((k + 1 for k, (_, i) in enumerate(order) if label[i] == label[q]), None))
-    got = catalogue.queries()["retrieve_topk_whole"](spark, sf_dir).collect()
+    got = catalogue.queries()["retrieve_topk"](spark, sf_dir).collect()
     assert sorted((r.query_id, r.item_id, r.rank) for r in got) == sorted(top)
-    m = catalogue.queries()["mrr_recall_at_k_whole"](spark, sf_dir).first()
+    m = catalogue.queries()["mrr_recall_at_k"](spark, sf_dir).first()
     assert m.n == len(asked) and abs(m.mrr - sum(1 / f for f in first if f) / len(first)) < 1e-8
     assert abs(m.recall_at_k - sum(bool(f and f <= 10) for f in first) / len(first)) < 1e-8
 
@@ -69,14 +69,15 @@ def test_best_passage_of_all_documents(spark, sf_dir):
             shared = [len(content(claim) & content(p)) for p in parts if p.strip()]
             if shared:
                 want.append((item, r["doc_id"], shared.index(max(shared)), max(shared)))
-    got = catalogue.queries()["best_passage_whole"](spark, sf_dir).collect()
+    got = catalogue.queries()["best_passage"](spark, sf_dir).collect()
     assert sorted((r.item_id, r.doc_id, r.pos, r.shared) for r in got) == sorted(want)
 
 
 def test_token_f1_of_all_documents(spark, sf_dir):
     f1 = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
-    want = {(i, r["doc_id"]): max(f1(toks(c), toks(x)) for x in re.split(r"[.!?\n]+", r["text"])) for i, c in items(sf_dir) for r in table(sf_dir, "documents")}
-    got = {(r.item_id, r.doc_id): r.score for r in catalogue.queries()["token_f1_best_sentence_whole"](spark, sf_dir).collect()}
+    every = lambda x: set(re.findall("[a-z0-9]+", (x or "").lower()))
+    want = {(i, r["doc_id"]): round(max(f1(every(c), every(x)) for x in re.split(r"(?<=[.!?;])\s+|\n", r["text"])), 3) for i, c in items(sf_dir) for r in table(sf_dir, "documents")}
+    got = {(r.item_id, r.doc_id): r.score for r in catalogue.queries()["token_f1_best_sentence"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
@@ -87,5 +88,13 @@ def test_overlap_verify_of_all_documents(spark, sf_dir):
         for r in table(sf_dir, "documents"):
             if shared := len(words & content(r["text"])):
                 want.append((item, r["doc_id"], shared, shared / len(words) >= 0.5 and all(n in r["text"].lower() for n in stated)))
-    got = catalogue.queries()["overlap_verify_whole"](spark, sf_dir).collect()
+    got = catalogue.queries()["overlap_verify"](spark, sf_dir).collect()
     assert sorted((r.item_id, r.doc_id, r.shared, r.ok) for r in got) == sorted(want)
+
+
+def test_quotes_of_all_lengths(spark):
+    sources = [(1, "One two  three four five six SEVEN eight"), (2, "xtwo three four five sixy"), (3, "two three"), (4, None), (5, "a b c d e f g")]
+    quotes = [(1, "two three four five six"), (2, "wo three four five si"), (3, "two three"), (4, "  "), (5, "b c d e f g"), (6, "b c d x f g"), (7, None)]
+    got = evidence.quoted(spark.createDataFrame(quotes, "q long, quote string"), spark.createDataFrame(sources, "k long, body string"), "quote", "body", "k").select("q", "k").collect()
+    flat = lambda x: " ".join((x or "").lower().split())
+    assert sorted(map(tuple, got)) == sorted((q, k) for q, a in quotes for k, b in sources if flat(a) and b and flat(a) in flat(b))
