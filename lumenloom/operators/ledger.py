@@ -83,3 +83,73 @@ def coalesce_update(table: DataFrame, changes: DataFrame, keys: list[str], colum
     new = changes.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
     joined = table.join(new, keys, "left")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else c for c in table.columns])
+
+
+def split_tokens(total: Column, read: Column, created: Column) -> Column:
+    """Regular input tokens of a usage report that counts cache reads and writes in its total."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return F.greatest(n(total) - n(read) - n(created), F.lit(0))
+
+
+def start_runs(new: DataFrame, now: Column) -> DataFrame:
+    """Run rows for ``new`` (project, routine, invocation, id): running; a run without id is named after its routine and the time."""
+    name = F.concat(F.coalesce("routine", F.lit("adhoc")), F.lit("-"), F.date_format(now, "yyyyMMdd'T'HHmmss'Z'"))
+    return new.select(F.coalesce("id", name).alias("id"), "routine", "project", F.coalesce("invocation", F.lit("manual")).alias("invocation"), F.lit("running").alias("status"), now.alias("started_at"))
+
+
+def finish_runs(runs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Runs with the ends of ``done`` (id, status, error, papers_new): a null error or count leaves the old one, a null status is completed."""
+    ends = done.select("id", F.struct(F.coalesce("status", F.lit("completed")).alias("status"), "error", "papers_new").alias("__e"))
+    joined = runs.join(ends, "id", "left")
+    hit = F.col("__e").isNotNull()
+    new = {"status": F.when(hit, F.col("__e.status")).otherwise(F.col("status")), "finished_at": F.when(hit, now).otherwise(F.col("finished_at")), "error": F.coalesce("__e.error", "error"), "papers_new": F.coalesce("__e.papers_new", "papers_new")}
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in runs.columns])
+
+
+def run_totals(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """Runs with their tokens and cost raised by the events' sums: the roll-up of one batch of events."""
+    sums = rollup(events, ["run_id"], {f"__{c}": c for c in ("input_tokens", "output_tokens", "cached_input_tokens", "cost_cents")})
+    joined = runs.join(sums, F.col("id") == F.col("run_id"), "left")
+    added = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"__{c}", F.lit(0))).alias(c)
+    return joined.select(*[added(c) if f"__{c}" in sums.columns else F.col(c) for c in runs.columns])
+
+
+def run_cost(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id) with cost_cents so far; 0 for an unknown run."""
+    return asked.select("id").join(runs.select("id", "cost_cents"), "id", "left").select("id", F.coalesce("cost_cents", F.lit(0.0)).alias("cost_cents"))
+
+
+def spend_by(events: DataFrame, runs: DataFrame | None, dims: list[str], amount: str, since: Column | None = None, ts: str = "occurred_at") -> DataFrame:
+    """dims, spend and n of events (joined with ``runs`` on run_id = id where a dimension is a run's), greatest spend first."""
+    rows = events if since is None else events.where(F.col(ts) >= since)
+    if runs is not None:
+        rows = rows.join(runs, F.col("run_id") == F.col("id"))
+    return rows.groupBy(*dims).agg(F.sum(amount).alias("spend"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("spend"), *dims)
+
+
+def check_budget(events: DataFrame, policies: DataFrame, now: Column, ts: str = "occurred_at", amount: str = "cost_cents") -> DataFrame:
+    """One row: ok, observed, cap, warn, tripped, utilization by the policy of id 1; without a policy everything is ok and the cap 0."""
+    seen = month_to_date(events, now, ts, amount)
+    # at most one policy has id 1
+    policy = policies.where("id = 1").agg(F.max("cap_cents").alias("cap"), F.max("warn_pct").alias("pct"), F.max("hard_stop").alias("stop"))
+    both = seen.crossJoin(policy).withColumn("warn", F.ceil(F.col("cap") * F.col("pct") / 100).cast("long"))
+    tripped = F.when(F.col("observed") >= F.col("cap"), "hard_stop").when(F.col("observed") >= F.col("warn"), "warning")
+    both = both.withColumn("tripped", tripped)
+    ok = ~((F.coalesce("tripped", F.lit("")) == "hard_stop") & F.coalesce("stop", F.lit(False)))
+    return both.select(ok.alias("ok"), "observed", F.coalesce("cap", F.lit(0)).cast("long").alias("cap"), F.coalesce("warn", F.lit(0)).cast("long").alias("warn"), "tripped", F.coalesce(F.try_divide(F.col("observed").cast("double"), F.col("cap").cast("double")), F.lit(0.0)).alias("utilization"))
+
+
+def open_now(incidents: DataFrame) -> DataFrame:
+    """Open incidents, oldest first."""
+    return incidents.where("status = 'open'").select("id", "threshold", "observed_cents", "opened_at").orderBy("id")
+
+
+def last_runs(runs: DataFrame, most: int, order: str = "started_at", tie: str = "id") -> DataFrame:
+    """The latest ``most`` runs."""
+    return runs.orderBy(F.desc(order), F.desc(tie)).limit(most)
+
+
+def stats_of(stats: DataFrame, routine: str) -> DataFrame:
+    """A routine's source statistics by source, with the keep rate (0 without papers)."""
+    rate = F.coalesce(F.try_divide(F.col("kept").cast("double"), F.col("seen").cast("double")), F.lit(0.0))
+    return stats.where(F.col("routine") == routine).select("source", "kept", "seen", "muted", rate.alias("rate")).orderBy("source")
