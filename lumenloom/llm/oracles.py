@@ -49,4 +49,30 @@ k AS (SELECT r, string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY po
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed FROM d LEFT JOIN k ON d.r = k.r
 """
 
-ORACLES = {"op2_rule_ledger": OP2, "op6_source_mix": OP6, "op10_line_spread": OP10}
+
+
+def _lloyd(rounds: int) -> str:
+    """Assignments a1.. and codebooks b0.. of all rounds as common table expressions."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k + 1} AS MATERIALIZED (SELECT r, pos, entry, far FROM (SELECT e.r, e.pos, b.entry, sum((e.x - b.y) * (e.x - b.y)) AS far FROM e JOIN b{k} b USING (pos, i) GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY r, pos ORDER BY far, entry) = 1)""")
+        if k < rounds:
+            steps.append(f"""m{k + 1} AS (SELECT pos, a.entry, i, sum(x) AS s, count(*) AS n FROM e JOIN a{k + 1} a USING (r, pos) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT pos, entry, i, CASE WHEN m.n IS NULL THEN b.y ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS y FROM b{k} b LEFT JOIN m{k + 1} m USING (pos, entry, i))""")
+    return ",\n".join(steps)
+
+
+OP13 = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::HUGEINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT r, unnest(v) AS x, unnest(range(len(v))) AS j, len(v) // 4 AS width FROM k),
+e AS MATERIALIZED (SELECT r, j // width AS pos, j % width AS i, x FROM u),
+b0 AS MATERIALIZED (SELECT pos, r AS entry, i, x AS y FROM e WHERE r < 256),
+{_lloyd(4)},
+h AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY pos, entry, i)) AS codebooks_sha256 FROM b4),
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(far)::BIGINT AS error FROM a5 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (r), h
+"""
+
+ORACLES = {"op2_rule_ledger": OP2, "op6_source_mix": OP6, "op10_line_spread": OP10, "op13_vector_codes": OP13}

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import dac, digests, langid, line_spread, mixing, packing, rule_ledger, secret_scan, simhash, toxicity
+from lumenloom.llm import dac, digests, langid, line_spread, mixing, packing, rule_ledger, secret_scan, simhash, toxicity, vector_codes
 from lumenloom.llm.common import documents
 from lumenloom.llm.oracles import ORACLES
 
@@ -66,10 +66,17 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = vector_codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_mixture, op2_rule_ledger, op3_vector_packing, op4_direct_codes, op5_toxicity_chain,
         op6_source_mix, op7_simhash_pivots, op8_canonical_digest, op9_secret_scan, op10_line_spread,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
