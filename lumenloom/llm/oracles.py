@@ -50,6 +50,22 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') EN
 """
 
 
+OP12 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+s AS (SELECT lang, count(*) AS n FROM o GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, list_slice(ws, i, i + m - 1) AS ph, m, count(*) AS f FROM o, range(1, 6) t(m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+k AS (SELECT lang, ph, m, f AS a, unnest(range(1, m)) AS k FROM g WHERE m > 1),
+c AS (SELECT k.lang, k.ph, k.a, k.k, x.f AS l, y.f AS r, s.n, (1000::HUGEINT * k.a * s.n) // (x.f::HUGEINT * y.f) AS score
+      FROM k JOIN g x ON x.lang = k.lang AND x.ph = list_slice(k.ph, 1, k.k) JOIN g y ON y.lang = k.lang AND y.ph = list_slice(k.ph, k.k + 1, k.m) JOIN s ON s.lang = k.lang),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT b.lang, b.ph FROM b JOIN (SELECT lang, list_slice(ph, i, i + z - 1) AS ph, f FROM g, range(1, 6) t(i), range(2, 6) u(z) WHERE z < m AND i + z - 1 <= m) q ON q.lang = b.lang AND q.ph = b.ph WHERE 100 * q.f >= 100 * b.a),
+e AS (SELECT b.lang, array_to_string(b.ph, ' ') AS phrase, a, l, r, n, score FROM b ANTI JOIN d ON d.lang = b.lang AND d.ph = b.ph)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM e
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 
 def _lloyd(rounds: int) -> str:
     """Assignments a1.. and codebooks b0.. of all rounds as common table expressions."""
@@ -75,4 +91,4 @@ c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (r), h
 """
 
-ORACLES = {"op2_rule_ledger": OP2, "op6_source_mix": OP6, "op10_line_spread": OP10, "op13_vector_codes": OP13}
+ORACLES = {"op2_rule_ledger": OP2, "op6_source_mix": OP6, "op10_line_spread": OP10, "op12_suffix_sigma": OP12, "op13_vector_codes": OP13}
