@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import dac, digests, langid, line_spread, mixing, packing, phrases, rule_ledger, secret_scan, simhash, toxicity, vector_codes
+from lumenloom.llm import attention_lm, dac, digests, langid, line_spread, mixing, packing, phrases, rule_ledger, secret_scan, simhash, toxicity, vector_codes
 from lumenloom.llm.common import documents
 from lumenloom.llm.oracles import ORACLES
 
@@ -66,6 +66,10 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(documents(spark, sf_dir))
+
+
 def op12_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
@@ -80,7 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_mixture, op2_rule_ledger, op3_vector_packing, op4_direct_codes, op5_toxicity_chain,
         op6_source_mix, op7_simhash_pivots, op8_canonical_digest, op9_secret_scan, op10_line_spread,
-        op12_suffix_sigma, op13_vector_codes,
+        op11_attention_lm, op12_suffix_sigma, op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
