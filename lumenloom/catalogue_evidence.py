@@ -104,14 +104,14 @@ def count_checks(spark, d):
 
 # evidence records
 
-_RECORDS_SQL = """r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 5, 30) WHEN 1 THEN upper(substr(text, 5, 30)) WHEN 2 THEN '' ELSE 'not in this text 0123456' END AS q FROM documents)"""
+_RECORDS_SQL = """r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 5, 30) WHEN 1 THEN translate(substr(text, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN '' ELSE 'not in this text 0123456' END AS q FROM documents)"""
 
 
 def _records(spark, d):
     docs = _t(spark, d, "documents")
     n = F.col("doc_id") % 4
     part = F.substring("text", 5, 30)
-    quote = F.when(n == 0, part).when(n == 1, F.upper(part)).when(n == 2, "").otherwise("not in this text 0123456")
+    quote = F.when(n == 0, part).when(n == 1, F.translate(part, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(n == 2, "").otherwise("not in this text 0123456")
     number = (F.col("doc_id") % 7).cast("string")
     return docs.select(
         F.col("doc_id").cast("string").alias("paper_id"), F.when(n == 3, "odd").otherwise("HIGH").alias("relevance"), F.array(F.struct(F.lit("CD4").alias("symbol"), F.lit(None).cast("string").alias("species"), quote.alias("source_quote"))).alias("genes"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import quoteattr
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,25 +57,6 @@ def markdown_table(df: DataFrame, rows: int = 50) -> str:
     return "\n".join(head + ["| " + " | ".join(clean(x) for x in r) + " |" for r in shown])
 
 
-def graphml(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> str:
-    """GraphML of a report-sized graph (node, attributes; src, dst, attributes); more than ``most`` edges are refused."""
-    found = edges.limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"a report graph has {most} edges at most")
-    names = [c for c in nodes.columns if c != "node"], [c for c in edges.columns if c not in ("src", "dst")]
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    for kind, fields in zip(("node", "edge"), names, strict=True):
-        out += [f'<key id="{kind}_{f}" for="{kind}" attr.name={quoteattr(f)} attr.type="string"/>' for f in fields]
-    out.append('<graph edgedefault="directed">')
-    data = lambda kind, fields, r: "".join(f'<data key="{kind}_{f}">{quoteattr(str(r[f]))[1:-1]}</data>' for f in fields if r[f] is not None)
-    held = {r["src"] for r in found} | {r["dst"] for r in found}
-    ends = nodes.join(F.broadcast(edges.limit(most).select(F.explode(F.array("src", "dst")).alias("node")).distinct()), "node", "left_semi").collect()
-    out += [f"<node id={quoteattr(str(r['node']))}>{data('node', names[0], r)}</node>" for r in ends]
-    out += [f"<node id={quoteattr(str(x))}/>" for x in held - {r["node"] for r in ends}]
-    out += [f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}>{data('edge', names[1], r)}</edge>" for r in found]
-    return "\n".join([*out, "</graph>", "</graphml>"])
-
-
 def digest(project: str, new: DataFrame, spent: DataFrame, stats: DataFrame) -> str:
     """Markdown digest: new kept papers by score (25 at most), month-to-date cost, source statistics."""
     top = new.orderBy(F.desc_nulls_last("score"), "paper_id").select("paper_id", "title", "score")

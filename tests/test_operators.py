@@ -332,3 +332,13 @@ def test_ancestors_stop_at_cycles(spark):
     tree = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", None)], "c string, p string")
     got = {(r.node, r.ancestor): r.distance for r in graph.ancestors(tree, "c", "p").collect()}
     assert got[("x", "y")] == 1 and got[("a", "c")] == 2 and ("a", "a") not in got
+
+
+@pytest.mark.parametrize(
+    ("quote", "source", "want"),
+    [("Die Straße", "die  straße war", True), ("DIE STRASSE", "die straße war", False), ("STRAßE", "Straße", True), ("İstanbul", "i̇stanbul", True), ("ﬁne", "fine", False), ("", "x", False), (None, "x", False), ("x", None, False)],
+)
+def test_quotes_are_compared_in_lower_case_without_folding(spark, quote, source, want):
+    """Letters whose upper case is longer are not folded: ``ß`` is no ``ss``, a ligature no two letters."""
+    row = spark.createDataFrame([(quote, source)], "q string, s string").select(text.quote_in_source(F.col("q"), F.col("s")).alias("x")).first()
+    assert row.x is want
