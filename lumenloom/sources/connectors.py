@@ -1,20 +1,19 @@
 """Literature connectors over saved responses (no network): arXiv Atom, Europe PMC and Semantic Scholar JSON.
 
 Each returns paper records with one schema. The date filter keeps records without a date. Europe PMC's
-query text (source, date and journals pushed down) is built by ``europe_pmc_query``; a live fetcher can be
-registered as a Python data source around ``fetch``.
+query text (source, date and journals pushed down) is built by ``europe_pmc_query``. The same services as a
+source with pushed-down filters, and as a stream, are in ``literature``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RECORD = "title string, abstract string, doi string, arxiv_id string, pmid string, s2_id string, year int, journal string, source string, pdf_url string, published string"
 _ATOM = "{http://www.w3.org/2005/Atom}"
@@ -34,7 +33,8 @@ def arxiv_query(query: str, categories: Sequence[str] = ()) -> str:
     return f"all:{query}" if not categories else f"all:{query} AND ({' OR '.join(f'cat:{c}' for c in categories)})"
 
 
-def _atom(xml: str) -> list[tuple]:
+def atom(xml: str) -> list[tuple]:
+    """Records of an Atom feed in the order of RECORD; an unreadable feed gives none."""
     try:
         entries = ElementTree.fromstring(xml).findall(f"{_ATOM}entry")
     except ElementTree.ParseError:
@@ -55,7 +55,7 @@ def read_arxiv(spark: SparkSession, path: str, day: dt.date | None = None) -> Da
 
     def run(batches):
         for pdf in batches:
-            frame = pd.DataFrame([r for x in pdf["value"] for r in _atom(x)], columns=names)
+            frame = pd.DataFrame([r for x in pdf["value"] for r in atom(x)], columns=names)
             yield frame.astype({"year": "Int32"})
 
     return since(spark.read.text(path, wholetext=True).mapInPandas(run, RECORD), day)
@@ -98,33 +98,6 @@ def pdf_urls(doi: Column, arxiv: Column, pdf_url: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.nullif(pdf_url, F.lit("")), arxiv_pdf, preprint)))
 
 
-class FetchSource(DataSource):
-    """``spark.read.format("lumenloom_fetch")``: one partition a query, read by ``fetch(query) -> rows``."""
-
-    fetch: Callable[[str], list[tuple]] = staticmethod(lambda query: [])
-
-    @classmethod
-    def name(cls) -> str:
-        return "lumenloom_fetch"
-
-    def schema(self) -> str:
-        return RECORD
-
-    def reader(self, schema) -> DataSourceReader:
-        return _FetchReader(self.options.get("queries", "").split("\n"), type(self).fetch)
-
-
-class _FetchReader(DataSourceReader):
-    def __init__(self, queries: list[str], fetch):
-        self.queries, self.fetch = [q for q in queries if q], fetch
-
-    def partitions(self):
-        return [InputPartition(q) for q in self.queries]
-
-    def read(self, partition):
-        yield from self.fetch(partition.value)
-
-
 def is_pdf(content: Column) -> Column:
     """Magic bytes of a PDF."""
     return F.substring(content, 1, 4) == F.lit(b"%PDF")
