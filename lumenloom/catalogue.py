@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text
-from lumenloom.operators import evaluation, evidence, graph, ledger, library, metrics, parsing, policy, resolve, schedule
+from lumenloom.operators import evaluation, evidence, graph, hypotheses, ledger, library, metrics, parsing, policy, resolve, schedule
 from lumenloom.runtime import small_side
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,11 +396,17 @@ def token_f1_best_sentence(spark, d):
     return docs.join(small_side(b, evidence.QUERY_ROWS), F.lit(True)).select("item_id", "doc_id", evidence.best_sentence_f1(F.col("claim"), F.col("text")).alias("score"))
 
 
-@_query()
+@_query("""WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3))) AS w FROM documents),
+           c AS (SELECT w, min(doc_id) AS class_id, len(w) AS n FROM t WHERE len(w) > 0 GROUP BY w),
+           e AS MATERIALIZED (SELECT class_id, n, unnest(w) AS token FROM c),
+           p AS (SELECT x.class_id AS a, y.class_id AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM e x JOIN e y ON x.token = y.token AND x.class_id < y.class_id
+                 WHERE x.n > 0.85 * y.n AND y.n > 0.85 * x.n GROUP BY x.class_id, y.class_id HAVING s > 0.85),
+           l AS (SELECT class_id, count(*) AS n_links, max(s) AS similarity FROM (SELECT a AS class_id, s FROM p UNION ALL SELECT b, s FROM p) GROUP BY class_id)
+           SELECT t.doc_id, coalesce(c.class_id, t.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, round(similarity, 6) AS similarity FROM t LEFT JOIN c ON t.w = c.w AND len(t.w) > 0 LEFT JOIN l ON c.class_id = l.class_id""")
 def near_dup_jaccard(spark, d):
-    """All documents, by an exact prefix filter; held against brute force, as SQL over all pairs is too slow."""
-    found = evidence.similar_pairs(_t(spark, d, "documents"), "doc_id", "text", 0.3)
-    return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """All documents by class of equal tokens, with the classes that each is like, by the measure of the duplicate filter."""
+    found = evidence.similar_documents(_t(spark, d, "documents"), "doc_id", "text", hypotheses.Config().token_jaccard_dup)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 _COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"

@@ -54,25 +54,24 @@ def components(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
     return rows.select(row).distinct().join(roots, row, "left").select(row, F.coalesce("root", row).alias("component"))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Papers of one component, by replaying its records in arrival order."""
-    papers: dict[str, dict] = {}
-    of_id: dict[tuple[str, str], str] = {}
-    columns = [c for c, _ in IDS] + list(FIELDS)
+_COLUMNS = [c for c, _ in IDS] + list(FIELDS)
+PAPER = "paper_id string, doi string, arxiv_id string, pmid string, s2_id string, title string, abstract string, year int, journal string, sources array<string>, first_seq long"
+
 
-    def index(paper: dict) -> None:
-        for c, _ in IDS:
-            if paper[c]:
-                of_id[c, paper[c]] = paper["paper_id"]
+def replay(held: list[dict], records: list[dict]) -> list[dict]:
+    """Papers after ``records``, in their order, have come to the papers ``held``.
+
+    What a paper's identifiers lead to is all the state there is: of_id holds those of the papers at hand.
+    """
+    papers = {p["paper_id"]: p for p in held}
+    of_id = {(c, p[c]): p["paper_id"] for p in held for c, _ in IDS if p[c]}
 
     def absorb(into: dict, other: dict) -> None:
-        for c in columns:
+        for c in _COLUMNS:
             into[c] = into[c] or other[c]
         into["sources"] |= other["sources"]
 
-    for r in pdf.sort_values("seq").to_dict("records"):
-        record = {c: (None if pd.isna(r[c]) or r[c] == "" else r[c]) for c in columns}
-        record["sources"] = {r["source"]} if isinstance(r["source"], str) and r["source"] else set()
+    for record in records:
         found = list(dict.fromkeys(of_id[c, record[c]] for c, _ in IDS if record[c] and (c, record[c]) in of_id))
         if found:
             paper = papers[found[0]]
@@ -85,11 +84,41 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             name = next((p + record[c] for c, p in IDS if record[c]), None)
             if name is None:
                 continue
-            paper = papers[name] = dict.fromkeys(columns) | {"paper_id": name, "sources": set(), "first_seq": r["seq"]}
+            paper = papers[name] = dict.fromkeys(_COLUMNS) | {"paper_id": name, "sources": set(), "first_seq": record["seq"]}
         absorb(paper, record)
-        index(paper)
-    rows = [{**p, "year": None if p["year"] is None else int(p["year"]), "sources": sorted(p["sources"])} for p in papers.values()]
-    return pd.DataFrame(rows, columns=["paper_id", *columns, "sources", "first_seq"]).astype({"year": "Int64"})
+        of_id.update({(c, paper[c]): paper["paper_id"] for c, _ in IDS if paper[c]})
+    return list(papers.values())
+
+
+def _records(pdf: pd.DataFrame) -> list[dict]:
+    """Records by arrival, what is empty as None."""
+    rows = []
+    for r in pdf.sort_values("seq").to_dict("records"):
+        sources = {r["source"]} if isinstance(r["source"], str) and r["source"] else set()
+        rows.append({c: (None if pd.isna(r[c]) or r[c] == "" else r[c]) for c in _COLUMNS} | {"seq": r["seq"], "sources": sources})
+    return rows
+
+
+def _papers(pdf: pd.DataFrame) -> list[dict]:
+    """Papers as they were written."""
+    rows = pdf.to_dict("records")
+    return [{c: None if pd.isna(r[c]) else r[c] for c in _COLUMNS} | {"paper_id": r["paper_id"], "sources": set(r["sources"]), "first_seq": r["first_seq"]} for r in rows]
+
+
+def _frame(papers: list[dict]) -> pd.DataFrame:
+    rows = [{**p, "year": None if p["year"] is None else int(p["year"]), "sources": sorted(p["sources"])} for p in papers]
+    return pd.DataFrame(rows, columns=["paper_id", *_COLUMNS, "sources", "first_seq"]).astype({"year": "Int64"})
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Papers of one component, by replaying its records in arrival order."""
+    return _frame(replay([], _records(pdf)))
+
+
+def with_ids(records: DataFrame) -> DataFrame:
+    """Records (seq, identifiers, fields, source) with normalised identifiers."""
+    ids = records.withColumns({"doi": text.norm_doi(F.col("doi")), "arxiv_id": text.norm_arxiv(F.col("arxiv_id")), "pmid": text.empty_to_null(F.trim("pmid")), "s2_id": text.empty_to_null(F.trim("s2_id"))})
+    return ids.select("seq", *[c for c, _ in IDS], *FIELDS, "source")
 
 
 def merge_papers(records: DataFrame) -> DataFrame:
@@ -99,11 +128,9 @@ def merge_papers(records: DataFrame) -> DataFrame:
     identifier; an identifier that is set is never overwritten; a record without identifiers gives no
     paper. Rows of one component must fit one task: a component is one work and its copies.
     """
-    ids = records.withColumns({"doi": text.norm_doi(F.col("doi")), "arxiv_id": text.norm_arxiv(F.col("arxiv_id")), "pmid": text.empty_to_null(F.trim("pmid")), "s2_id": text.empty_to_null(F.trim("s2_id"))})
-    ids = ids.select("seq", *[c for c, _ in IDS], *FIELDS, "source")
+    ids = with_ids(records)
     grouped = ids.join(components(ids, "seq", [c for c, _ in IDS]), "seq")
-    shape = "paper_id string, doi string, arxiv_id string, pmid string, s2_id string, title string, abstract string, year int, journal string, sources array<string>, first_seq long"
-    return grouped.groupBy("component").applyInPandas(_fold, shape)
+    return grouped.groupBy("component").applyInPandas(_fold, PAPER)
 
 
 def link_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries over whole tables, without SQL, against brute force."""
 
+import random
 import re
 
 import pyarrow.parquet as pq
+import pytest
 
 from lumenloom import catalogue
 from lumenloom.functions.text import STOP_WORDS
@@ -18,17 +20,37 @@ def toks(x):
 
 
 def brute_similar(rows, least):
-    sets = [(k, toks(x)) for k, x in rows]
-    score = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
-    return sorted((min(i, j), max(i, j), round(v, 6)) for n, (i, a) in enumerate(sets) for j, b in sets[:n] if (v := score(a, b)) > least)
-
-
-def test_similar_pairs_of_many_copies_and_of_all_documents(spark, sf_dir):
-    rows = [(k, "alpha beta gamma delta") for k in range(60)] + [(60 + k, f"alpha beta gamma word{k}") for k in range(5)] + [(70, None), (71, "a b"), (72, "")]
-    got = evidence.similar_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.3).collect()
-    assert sorted((r.a, r.b, round(r.similarity, 6)) for r in got) == brute_similar(rows, 0.3)
-    got = [tuple(r) for r in catalogue.queries()["near_dup_jaccard"](spark, sf_dir).collect()]
-    assert sorted(got) == brute_similar([(r["doc_id"], r["text"]) for r in table(sf_dir, "documents")], 0.3)
+    """(key, class, links, similarity) of each row."""
+    sets = [(k, frozenset(toks(x))) for k, x in rows]
+    classes = {}
+    for k, x in sets:
+        classes[x] = min(k, classes.get(x, k))
+    score = lambda a, b: len(a & b) / len(a | b)
+    links = {x: [v for y in classes if y and y != x and (v := score(x, y)) > least] for x in classes if x}
+    return sorted((k, classes[x] if x else k, len(links.get(x, ())), round(max(links.get(x, ()), default=0), 6) or None) for k, x in sets)
+
+
+def similar(df, key):
+    return sorted((r[key], r.class_id, r.n_links, None if r.similarity is None else round(r.similarity, 6)) for r in df.collect())
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.85])
+def test_similar_documents_of_many_copies_and_sizes(spark, least):
+    rng = random.Random(3)
+    rows = [(k, "alpha beta gamma delta") for k in range(60)] + [(60 + k, f"alpha beta gamma word{k}") for k in range(5)] + [(70, None), (71, "a b"), (72, ""), (73, None)]
+    long = [f"t{k}00" for k in range(90)]
+    rows += [(100 + k, " ".join(rng.sample(long, rng.choice([3, 8, 40, 60, 80, 88])))) for k in range(60)]
+    rows += [(200 + k, " ".join(long[: 2**k])) for k in range(7)] + [(210, "Delta beta alpha gamma"), (210, "repeated id")]
+    got = evidence.similar_documents(spark.createDataFrame(rows, "k long, t string"), "k", "t", least)
+    assert similar(got, "k") == brute_similar(rows, least)
+    assert evidence.similar_documents(spark.createDataFrame([], "k long, t string"), "k", "t", least).count() == 0
+
+
+def test_similar_documents_of_the_whole_table(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in table(sf_dir, "documents")]
+    got = evidence.similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 0.3)
+    assert similar(got, "doc_id") == brute_similar(rows, 0.3)
+    assert similar(catalogue.queries()["near_dup_jaccard"](spark, sf_dir), "doc_id") == brute_similar(rows, 0.85)
 
 
 def test_embedding_queries_are_all_ids_divisible_by_50(spark, sf_dir):
