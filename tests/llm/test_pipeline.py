@@ -86,6 +86,17 @@ def test_stages_take_empty_tables_and_other_columns(spark, fixture, sf_dir):
     assert corpus_pipeline.packing_stage(spark, fixture.select("*", *other), sf_dir).count() > 0
 
 
+def test_columns_that_a_stage_makes_are_the_callers_where_it_has_them(spark, fixture, sf_dir):
+    """Extra columns of exactly the names that operators give their results keep type and value through every stage."""
+    made = "size source_size target copies taken __copy copy n_lines n_removed own_size own_n_lines".split()
+    docs = fixture.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in made])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.schema == docs.schema, name
+        wrong = [F.col(f"`{c}`") != F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in made]
+        assert got.where(F.exists(F.array(*wrong), lambda x: x)).count() == 0 and got.count() > 100, name
+
+
 def test_language_stage_keeps_languages_and_rejects_noise(spark, fixture, sf_dir):
     noise = [(7000, "xq7 zzkw qqj " * 40, "en", "s", 9), (7001, "\U000f0000 1 2", "en", "s", 9)]
     got = corpus_pipeline.language_id(spark, fixture.unionByName(spark.createDataFrame(noise, fixture.schema)), sf_dir)
