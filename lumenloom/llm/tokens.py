@@ -56,7 +56,6 @@ class PieceEncoder:
         # a piece stands for itself after a space, or as it is where it begins with a newline
         self.always = {"": space, "\n": self.newline}
         self.pieces, self.older = dict(self.always), {}
-        self.words: dict[bytes, bytes] = {}
 
     def _encode(self, raw: list[str]) -> list[bytes]:
         found: list[bytes] = []
@@ -100,25 +99,6 @@ class PieceEncoder:
         for x, y, end in ended:
             known[x] = known[y] + self.endings[end]
 
-    def encode_words(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """32-bit ids of the words (UTF-8, no ASCII white space) of each text, every word after a space; a known word costs one look-up."""
-        known = self.words
-        missing = [{x for x in words if x not in known} for words in texts]
-        new = list(set().union(*missing))
-        if len(known) + len(new) > self.most:
-            known = self.words = {x: known[x] for words in texts for x in words if x in known}
-        said = [x.decode() for x in new]
-        plain = [i for i, x in enumerate(said) if not _OTHER_SPACE.search(x)]
-        odd = [i for i, x in enumerate(said) if _OTHER_SPACE.search(x)]
-        wide = lambda found: [np.frombuffer(x, self.dtype).astype(np.int32).tobytes() for x in found]
-        known.update(zip([new[i] for i in plain], wide(self._encode_pieces([said[i] for i in plain])), strict=True))
-        known.update(zip([new[i] for i in odd], wide(self._encode([" " + said[i] for i in odd])), strict=True))
-        found = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in texts]
-        for x in new:
-            if len(x) > _KEEP_CHARS:
-                del known[x]
-        return found
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; of null none."""
         # no cycles arise here, and looking for them among the many live objects costs a tenth of the time
