@@ -58,7 +58,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = said(F.filter("spans", lambda x: x["kind"] != "lexed"))
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    named = F.filter("spans", lambda x: x["name"].isNotNull())
+    names = F.array_join(F.transform(named, lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["name"])), ",").alias("names")
+    score = F.array_max(F.transform(named, lambda x: x["score"])).alias("top_score")
+    spans = said(F.col("spans")).alias("spans")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), count("lexed"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans, names, score)
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

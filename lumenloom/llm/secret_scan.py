@@ -38,6 +38,10 @@ _PAIR = re.compile(rf"(?:(?P<q>[\"'])(?P<quoted>{_NAME})(?P=q)|(?<![A-Za-z0-9_.-
 _JOIN = re.compile(rf"\x20*(?:\+|\.\.?)?\x20*(?P<value>{_LITERAL})|\x20*(?:\+|\.\.)\x20*(?P<name>{_NAME})")
 _TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>")
 _IDENTIFIER = re.compile(_NAME + r"\Z")
+#: Credentials inside an address, and a block scalar: a name, a bar, and the more deeply indented lines below it.
+_ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@\"'<>]*+:(?P<value>[^\s:/@\"'<>]{6,}+)@")
+_BLOCK = re.compile(rf"^(?P<before>\x20*+(?:-\x20+)?)(?P<name>{_NAME})\x20*:\x20*[|>][+-]?\x20*\n", re.MULTILINE)
+_LINE = re.compile(r"(?P<indent>\x20*+)(?P<value>[^\n]*)(?:\n|\Z)")
 
 _CALL = re.compile(rf"(?<![A-Za-z0-9_.-])(?P<callee>{_NAME})\((?P<arguments>(?:{_LITERAL}|[^()\n\"'`])*+)\)")
 _ARGUMENT = re.compile(rf"(?P<value>{_LITERAL})|(?P<name>{_NAME})(?!\x20*[=:(])")
@@ -55,6 +59,20 @@ ABOUT = frozenset("count counts size length len type name id ids url uri path fi
 PLACEHOLDERS = re.compile(r"(?i)\A(?:x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|your[-_ ].*|<.*>|\$\{.*\}|\$[A-Z_]+|todo)\Z")
 THRESHOLD = 0.45
 MIN_CHARS = 6
+#: What is left of a score where a colon stands in running text, and of that of a literal of several plain words.
+PROSE, WORDS = 0.5, 0.4
+
+
+def doubt(text: str, begin: int, name: str, sign: str, value: str, end: int) -> float:
+    """What is left of the score of an assignment that may be none: a sentence around a colon, or a quoted sentence."""
+    if value[:1] in "\"'`":
+        words = value[1:-1].split()
+        return WORDS if len(words) > 1 and all(w.strip(".,;:!?").isalpha() for w in words) and "phrase" not in name.lower() else 1.0
+    if ":" in sign and "=" not in sign and re.match(r"\x20+[A-Za-z]", text[end : end + 3]):
+        line = max(begin - 200, text.rfind("\n", max(0, begin - 200), begin) + 1)  # so far a sentence is looked back at
+        before = text[max(0, line) : begin]
+        return PROSE if re.search("[A-Za-z]", before) else 1.0
+    return 1.0
 
 
 def sensitivity(name: str) -> float:
@@ -88,18 +106,21 @@ def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
         return []
     literals: dict[str, list[tuple[int, int]]] = {}
     refers: dict[str, list[str]] = {}
+    left: dict[tuple[int, int], float] = {}
 
-    def take(name: str, value: str, start: int, end: int) -> None:
+    def take(name: str, value: str, start: int, end: int, share: float = 1.0) -> None:
         if value[:1] in "\"'`":
             start, end = start + 1, end - 1
         elif _IDENTIFIER.match(value):
             refers.setdefault(name, []).append(value)
         if end - start >= 1:
             literals.setdefault(name, []).append((start, end))
+            left[start, end] = min(share, left.get((start, end), 1.0))
 
     for m in _PAIR.finditer(text):
         name = m["quoted"] or m["plain"]
-        take(name, m["value"], *m.span("value"))
+        sign = text[m.end("quoted" if m["quoted"] else "plain") : m.start("value")]
+        take(name, m["value"], *m.span("value"), doubt(text, m.start(), name, sign, m["value"], m.end()))
         at = m.end()
         while more := _JOIN.match(text, at):
             if more["value"]:
@@ -107,6 +128,19 @@ def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
             else:
                 refers.setdefault(name, []).append(more["name"])
             at = more.end()
+    if "://" in text:
+        for m in _ADDRESS.finditer(text):
+            take("address_password", m["value"], *m.span("value"))
+    if "|" in text or ">" in text:
+        for m in _BLOCK.finditer(text):
+            at = m.end()
+            while at < len(text) and (line := _LINE.match(text, at)):
+                value = line["value"].rstrip()
+                if value and len(line["indent"]) <= len(m["before"]):
+                    break
+                if value:
+                    take(m["name"], value, line.start("value"), line.start("value") + len(value))
+                at = line.end()
     if "</" in text:
         for m in _TAG.finditer(text):
             take(m["name"], m["value"], *m.span("value"))
@@ -131,7 +165,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str, float]]:
         for start, end in literals.get(name, ()):
             value = text[start:end]
             if end - start >= MIN_CHARS and value not in literals and value not in refers and not PLACEHOLDERS.match(value):
-                got = weight * randomness(value)
+                got = weight * randomness(value) * left[start, end]
                 if got >= THRESHOLD and got > found.get((start, end), (0.0, ""))[0]:
                     found[start, end] = got, name
     return [(*span, name, got) for span, (got, name) in sorted(found.items())]
