@@ -32,7 +32,7 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _further() -> None:
     """The queries of the other catalogue modules."""
-    from lumenloom import catalogue_evaluation, catalogue_evidence, catalogue_library  # noqa: F401
+    from lumenloom import catalogue_acquisition, catalogue_evaluation, catalogue_evidence, catalogue_library  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -121,17 +121,21 @@ def identity_components(spark, d):
     return resolve.components(pages, "page_id", ["address", "title"])
 
 
-@_query()
-def paper_merge(spark, d):
-    """Records by page: an id from the address, one from the title, an order of arrival; merged papers."""
+def paper_records(spark, d):
+    """Records by page: an id from the address, one from the title, an order of arrival."""
     p = _t(spark, d, "pages")
     title = F.nullif(parsing.html_title(F.col("html")), F.lit(""))
-    records = p.select(
+    return p.select(
         F.col("page_id").alias("seq"), F.concat(F.lit("https://doi.org/"), text.canonical_url(F.col("url"))).alias("doi"), F.concat(F.lit("arXiv:"), F.substring(F.md5(title.cast("binary")), 1, 12), F.lit("v2")).alias("arxiv_id"),
         F.lit(None).cast("string").alias("pmid"), F.lit(None).cast("string").alias("s2_id"), title.alias("title"), F.lit("").alias("abstract"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("journal"),
         F.regexp_extract(text.canonical_url(F.col("url")), "^([^/]+)", 1).alias("source"),
     )
-    return resolve.merge_papers(records)
+
+
+@_query()
+def paper_merge(spark, d):
+    """Merged papers of the records of pages."""
+    return resolve.merge_papers(paper_records(spark, d))
 
 
 # ledger
