@@ -23,6 +23,16 @@ f AS (SELECT *, ({" + ".join(f"CASE WHEN {x.fails} THEN {1 << k} ELSE 0 END" for
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, (failures & {rule_ledger.mask(rule_ledger.POLICIES[rule_ledger.PRODUCTION])}) = 0 AS kept, failures FROM f
 """
 
+_CELLS = ", ".join(f"('{p}', '{r}', {rule_ledger.mask(names)}, {rule_ledger.mask([r])})" for p, names in rule_ledger.POLICIES.items() for r in names)
+_LEDGER = OP2[: OP2.rindex("SELECT doc_id")]
+
+ABLATIONS = f"""{_LEDGER}
+, cells AS (SELECT * FROM (VALUES {_CELLS}) AS t(policy, rule, whole, bit))
+SELECT policy, rule, count(f.failures) AS documents, count(*) FILTER (f.failures & whole = 0) AS kept, count(*) FILTER (f.failures & bit <> 0) AS failed,
+       count(*) FILTER (f.failures & whole = bit) AS failed_alone, coalesce(bool_or(f.failures & bit <> 0), FALSE) AS ever_failed
+FROM cells LEFT JOIN f ON TRUE GROUP BY policy, rule
+"""
+
 _MIX = rf"""
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM {{table}}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS most, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
@@ -91,4 +101,4 @@ c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (r), h
 """
 
-ORACLES = {"op2_rule_ledger": OP2, "op6_source_mix": OP6, "op10_line_spread": OP10, "op12_suffix_sigma": OP12, "op13_vector_codes": OP13}
+ORACLES = {"op2_rule_ledger": OP2, "rule_ablations": ABLATIONS, "op6_source_mix": OP6, "op10_line_spread": OP10, "op12_suffix_sigma": OP12, "op13_vector_codes": OP13}

@@ -26,6 +26,11 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), newest.alias("kept"), "failures")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version costs and would give back, from the ledger's bitmasks alone."""
+    return rule_ledger.ablations(rule_ledger.ledger(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -88,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_language_mixture, op2_rule_ledger, op3_vector_packing, op4_direct_codes, op5_toxicity_chain,
         op6_source_mix, op7_simhash_pivots, op8_canonical_digest, op9_secret_scan, op10_line_spread,
-        op11_attention_lm, op12_suffix_sigma, op13_vector_codes,
+        op11_attention_lm, op12_suffix_sigma, op13_vector_codes, rule_ablations,
     )
     return {f.__name__: f for f in found}
 

@@ -49,6 +49,10 @@ def brute_measures(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines), len(lines) - len(set(lines)), len(covered)
 
 
+def test_ablations_of_the_whole_table(spark, sf_dir):
+    assert_same(queries.rule_ablations(spark, sf_dir), queries.oracle_sql()["rule_ablations"], sf_dir)
+
+
 def test_measures_and_policies(odd):
     got = rule_ledger.ledger(odd).collect()
     assert len(got) == odd.count()
