@@ -120,3 +120,33 @@ def test_quotes_of_all_lengths(spark):
     got = evidence.quoted(spark.createDataFrame(quotes, "q long, quote string"), spark.createDataFrame(sources, "k long, body string"), "quote", "body", "k").select("q", "k").collect()
     flat = lambda x: " ".join((x or "").lower().split())
     assert sorted(map(tuple, got)) == sorted((q, k) for q, a in quotes for k, b in sources if flat(a) and b and flat(a) in flat(b))
+
+
+def test_neighbours_by_blocks_are_those_of_the_nested_loop(spark, monkeypatch):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lumenloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "ITEM_ROWS", 16)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    # queries of any number are not held whole: no nested loop over rows, with a broadcast or without
+    monkeypatch.setattr(vectors, "BROADCAST_BLOCKS", 0)
+    rng = random.Random(5)
+    rows = [(k, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)], rng.choice([1, 2, None])) for k in range(70)]
+    rows += [(70 + k, [1.0, 0.5, 1.0, -1.0], 1) for k in range(40)] + [(110, [0.0] * 4, 1), (111, None, 1), (112, [1.0, None, 0.5, 1.0], 1), (113, [1.0, 0.5], 1), (114, [float("nan"), 1.0, 1.0, 1.0], 7)]
+    rows += [(115, [1e200, 1.0, 0.0, 0.0], 2), (120, [], 2), (None, [1.0] * 4, 1)]
+    e = spark.createDataFrame(rows, "i long, v array<double>, label int")
+    asked = e.where("i % 5 = 0 OR i > 110")
+    pairs = asked.select(F.col("i").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("l")).crossJoin(e.select(F.col("i").alias("item_id"), "v", "label")).where("query_id <> item_id")
+    ranked = pairs.select("query_id", "item_id", evidence.cosine(F.col("q"), F.col("v")).alias("s"), F.coalesce(F.col("l") == F.col("label"), F.lit(False)).alias("hit"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "item_id"))).cache()
+    said = lambda r: (r[0], r[1], repr(r[2]), r[3])
+    want = sorted(said(r) for r in ranked.where("rank <= 4").select("query_id", "item_id", "s", "rank").collect())
+    got = evidence.top_k(asked, e, "i", "i", "v", 4)
+    assert sorted(said(r) for r in got.select("query_id", "item_id", "similarity", "rank").collect()) == want
+    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))))
+    assert sorted(map(tuple, evidence.first_hits(asked, e, "i", "i", "v", "label").collect())) == sorted(map(tuple, first.collect()))
+    text = e.select(F.col("i").cast("string").alias("i"), "v", "label")
+    assert evidence.top_k(text.where("i = '7'"), text, "i", "i", "v", 4).count() == 4
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
