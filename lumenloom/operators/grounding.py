@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -159,7 +160,11 @@ def rescue(judged: DataFrame, sources: DataFrame, finder: Callable[[Column, Colu
 
 def front_value(md: Column, name: str) -> Column:
     """A frontmatter value as strings: a scalar (cut at commas), ``[a, b]`` or a block list; empty if there is none."""
-    head = parsing.frontmatter(md)
+    return head_value(parsing.frontmatter(md), name)
+
+
+def head_value(head: Column, name: str) -> Column:
+    """``front_value`` of a frontmatter block."""
     inline = F.trim(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1))
     block = F.regexp_extract_all(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*\n((?:[ \t]*-[ \t]+.*\n?)+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), 1)
     cells = F.split(F.regexp_replace(inline, r"^\[|\]$", ""), ",")
@@ -176,15 +181,18 @@ def front_text(md: Column) -> Column:
 def stub_records(notes: DataFrame, sources: DataFrame) -> DataFrame:
     """Records of notes (paper_id, text) by rules: frontmatter fields, markers and genes of the body; quotes are windows of the paper's text."""
     rows = notes.select("paper_id", F.col("text").alias("md")).join(sources.select("paper_id", F.col("text").alias("source")), "paper_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
-    body, source = parsing.body_of(F.col("md")), F.col("source")
-    quote = lambda term: text.squeeze(lexical.window(source, term))
-    species = front_value(F.col("md"), "species")
-    cells = F.transform(front_value(F.col("md"), "cell_types"), lambda n: F.struct(n.alias("name"), quote(F.trim(F.split(n, r"\(")[0])).alias("source_quote")))
-    marked = F.regexp_extract_all(body, F.lit(MARKER), 1)
-    once = text.bind(marked, lambda m: F.filter(m, lambda x, i: F.array_position(F.transform(m, lambda y: F.lower(y)), F.lower(x)) == i + 1))
-    genes = F.filter(F.array(*map(F.lit, GENES)), lambda g: F.regexp_like(body, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), g, F.lit(r"\E(?![A-Za-z0-9])"))))
+    # what several fields ask for is computed once a row, and patterns are constant
+    rows = rows.select("paper_id", "source", parsing.frontmatter(F.col("md")).alias("head"), parsing.body_of(F.col("md")).alias("body"))
+    listed = {c: head_value(F.col("head"), c).alias(c) for c in ("relevance", "species", "tissue", "cell_types")}
+    named = [F.when(F.col("body").rlike(rf"(?i)(?<![A-Za-z0-9]){re.escape(g)}(?![A-Za-z0-9])"), g) for g in GENES]
+    rows = rows.select("paper_id", F.struct("source", F.lower("source").alias("low")).alias("paper"), *listed.values(), F.regexp_extract_all("body", F.lit(MARKER), 1).alias("marked"), F.array_compact(F.array(*named)).alias("named"))
+    quote = lambda term: text.squeeze(lexical.window(F.col("paper.source"), term, low=F.col("paper.low")))
+    species = F.col("species")
+    cells = F.transform("cell_types", lambda n: F.struct(n.alias("name"), quote(F.trim(F.split(n, r"\(")[0])).alias("source_quote")))
+    once = text.bind(F.col("marked"), lambda m: F.filter(m, lambda x, i: F.array_position(F.transform(m, lambda y: F.lower(y)), F.lower(x)) == i + 1))
+    genes = F.col("named")
     return rows.select(
-        "paper_id", lexical.relevance(F.try_element_at(front_value(F.col("md"), "relevance"), F.lit(1))).alias("relevance"), species.alias("species"), front_value(F.col("md"), "tissue").alias("tissue"), cells.alias("cell_types"),
+        "paper_id", lexical.relevance(F.try_element_at("relevance", F.lit(1))).alias("relevance"), "species", "tissue", cells.alias("cell_types"),
         F.transform(once, lambda m: F.struct(m.alias("marker"), F.lit("").alias("maps_to_gene"), quote(m).alias("source_quote"))).alias("surface_markers"),
         F.transform(genes, lambda g: F.struct(g.alias("symbol"), F.coalesce(F.try_element_at(species, F.lit(1)), F.lit("")).alias("species"), quote(g).alias("source_quote"))).alias("genes"),
     )
