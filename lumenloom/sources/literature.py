@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import itertools
 import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -34,6 +35,8 @@ BY_DAY = ("europepmc", "europepmc_ppr")
 # The fields of Semantic Scholar that a column is read from.
 S2_FIELDS = {"title": "title", "abstract": "abstract", "doi": "externalIds", "arxiv_id": "externalIds", "pmid": "externalIds", "s2_id": "paperId", "year": "year", "journal": "venue", "published": "publicationDate", "pdf_url": "openAccessPdf"}
 PAGE = 100
+#: Bytes that are read of a saved day at once.
+READ = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -116,24 +119,49 @@ class Replay:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(self.folder)
+        if request.source == "semantic_scholar":  # its cursor is a number of records
+            begin = int(request.cursor or 0)
+            held = self._records(store, base, request, "", 0)
+            return json.dumps({"data": [json.loads(line) for _, _, line in itertools.islice(held, begin, begin + PAGE)]})
+        # the cursor is the place of a page's first record, so that a page reads its own records and no others
+        file, _, at = (request.cursor if request.cursor not in (None, "*") else "").rpartition("@")
+        page, more = [], {}
+        for name, place, line in self._records(store, base, request, file, int(at or 0)):
+            record = json.loads(line)
+            if request.journals and request.source == "europepmc" and record.get("journalTitle") not in request.journals:
+                continue
+            if len(page) == PAGE:
+                more = {"nextCursorMark": f"{name}@{place}"}
+                break
+            page.append(record)
+        return json.dumps({"resultList": {"result": page}} | more)
+
+    @staticmethod
+    def _records(store, base: str, request: Request, file: str, at: int) -> Iterator[tuple[str, int, bytes]]:
+        """Day and file, place in it and line of each record, in their order, from a place on."""
+        from pyarrow import fs
+
         top = f"{base}/source={request.source}"
         days = [x for x in store.get_file_info(fs.FileSelector(top, allow_not_found=True)) if x.type == fs.FileType.Directory]
         named = {x.path.rsplit("day=", 1)[-1]: x.path for x in days}
-        wanted = sorted(d for d in named if (not request.since or d >= request.since) and (not request.until or d <= request.until))
-        records = []
-        for day in wanted:
-            for file in sorted(store.get_file_info(fs.FileSelector(named[day])), key=lambda f: f.path):
-                if file.type == fs.FileType.File and not file.base_name.startswith(("_", ".")):
-                    with store.open_input_stream(file.path) as lines:
-                        records += [json.loads(x) for x in lines.read().decode().splitlines() if x]
-        if request.source == "semantic_scholar":
-            begin = int(request.cursor or 0)
-            return json.dumps({"data": records[begin : begin + PAGE]})
-        if request.journals and request.source == "europepmc":
-            records = [r for r in records if r.get("journalTitle") in request.journals]
-        begin = 0 if request.cursor in (None, "*") else int(request.cursor)
-        more = {"nextCursorMark": str(begin + PAGE)} if begin + PAGE < len(records) else {}
-        return json.dumps({"resultList": {"result": records[begin : begin + PAGE]}} | more)
+        begun = file.partition("/")[0]
+        for day in sorted(d for d in named if (not request.since or d >= request.since) and (not request.until or d <= request.until) and d >= begun):
+            for x in sorted(store.get_file_info(fs.FileSelector(named[day])), key=lambda f: f.path):
+                name = f"{day}/{x.base_name}"
+                if x.type != fs.FileType.File or x.base_name.startswith(("_", ".")) or (day == begun and name < file):
+                    continue
+                place = at if name == file else 0
+                with store.open_input_file(x.path) as held:
+                    held.seek(place)
+                    rest = b""
+                    while block := held.read(READ):
+                        *lines, rest = (rest + block).split(b"\n")
+                        for line in lines:
+                            if line.strip():
+                                yield name, place, line
+                            place += len(line) + 1
+                    if rest.strip():
+                        yield name, place, rest
 
 
 def spans(since: str | None, until: str | None, days: int) -> list[tuple[str | None, str | None]]:

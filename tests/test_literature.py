@@ -184,3 +184,20 @@ def test_new_records_take_each_paper_once(spark):
     got = literature.new_records(spark.createDataFrame([one, two, one, none], shape), None).collect()
     assert [(r.paper_id, r.source) for r in got] == [("doi:10.1/a", "a")]
     assert literature.new_records(spark.createDataFrame([one], shape), spark.createDataFrame([("doi:10.1/a",)], "paper_id string")).count() == 0
+
+
+def test_a_page_of_saved_days_reads_its_own_records(tmp_path):
+    import json
+
+    for day, n in (("2024-03-01", 130), ("2024-03-02", 170)):
+        folder = tmp_path / "source=europepmc" / f"day={day}"
+        folder.mkdir(parents=True)
+        (folder / "part-0").write_text("".join(json.dumps({"pmid": f"{day}/{k}", "journalTitle": "AB"[k % 2]}) + "\n" for k in range(n)))
+    replay, request = literature.Replay(str(tmp_path)), literature.Request("europepmc", "q", None, None, (), ())
+    first = literature.parse(request, replay(request))
+    second = literature.parse(request, replay(later := __import__("dataclasses").replace(request, cursor=first[1])))
+    third = __import__("dataclasses").replace(request, cursor=second[1])
+    (tmp_path / "source=europepmc" / "day=2024-03-01" / "part-0").unlink()  # the last page lies in the second day
+    got = [r["pmid"] for r in [*first[0], *second[0], *literature.parse(third, replay(third))[0]]]
+    assert got == [f"2024-03-01/{k}" for k in range(130)] + [f"2024-03-02/{k}" for k in range(170)] and later.cursor
+    assert literature.parse(third, replay(third))[1] is None
