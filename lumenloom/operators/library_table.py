@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,8 +88,8 @@ class LibraryTable:
         graph = new.select(F.concat(F.lit("1:"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("row"), *[c for c, _ in IDS]).unionByName(held.select(F.concat(F.lit("0:"), "paper_id").alias("row"), *[c for c, _ in IDS]))
         parts = materialize(resolve.components(graph, "row", [c for c, _ in IDS]), "touched-components")
         old = held.withColumn("row", F.concat(F.lit("0:"), "paper_id")).join(parts, "row").drop("row")
-        fresh = new.withColumn("row", F.concat(F.lit("1:"), F.lpad(F.col("seq").cast("string"), 20, "0"))).join(parts.select("row", F.col("component").alias("part")), "row").drop("row")
-        after = materialize(old.groupBy("component").cogroup(fresh.groupBy("part")).applyInPandas(_replay, PAPER), "papers-after")
+        fresh = new.withColumn("row", F.concat(F.lit("1:"), F.lpad(F.col("seq").cast("string"), 20, "0"))).join(parts, "row").drop("row")
+        after = materialize(resolve.replayed(fresh, old), "papers-after")
         gone = held.join(after, "paper_id", "left_anti")
         changed = after.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
         leads = _ids(after, "paper_id")
@@ -117,8 +116,3 @@ def _ids(rows: DataFrame, *more: str) -> DataFrame:
     """(kind, value, more) of the identifiers that rows have."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c, _ in IDS]))
     return rows.select(each.alias("x"), *more).where("x.value IS NOT NULL").select("x.kind", "x.value", *more)
-
-
-def _replay(held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """One component: its papers, and the records that came."""
-    return resolve._frame(resolve.replay(resolve._papers(held), resolve._records(new)))

@@ -7,12 +7,16 @@ identifiers leave several papers in one component.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions import text
-from lumenloom.runtime import BROADCAST_ROWS, materialize
+from lumenloom.runtime import BROADCAST_ROWS, materialize, workers_ready
 
 #: Identifier columns, strongest first, with their prefix in a paper id.
 IDS = (("doi", "doi:"), ("arxiv_id", "arxiv:"), ("pmid", "pmid:"), ("s2_id", "s2:"))
@@ -90,29 +94,46 @@ def replay(held: list[dict], records: list[dict]) -> list[dict]:
     return list(papers.values())
 
 
-def _records(pdf: pd.DataFrame) -> list[dict]:
-    """Records by arrival, what is empty as None."""
-    rows = []
-    for r in pdf.sort_values("seq").to_dict("records"):
-        sources = {r["source"]} if isinstance(r["source"], str) and r["source"] else set()
-        rows.append({c: (None if pd.isna(r[c]) or r[c] == "" else r[c]) for c in _COLUMNS} | {"seq": r["seq"], "sources": sources})
-    return rows
+def _record(r: dict) -> dict:
+    """A record, what is empty as None."""
+    return {c: None if r[c] == "" else r[c] for c in _COLUMNS} | {"seq": r["seq"], "sources": {r["source"]} if r["source"] else set()}
+
+
+def _paper(r: dict) -> dict:
+    """A paper as it was written."""
+    return {c: r[c] for c in _COLUMNS} | {"paper_id": r["paper_id"], "sources": set(r["sources"] or ()), "first_seq": r["first_seq"]}
 
 
-def _papers(pdf: pd.DataFrame) -> list[dict]:
-    """Papers as they were written."""
-    rows = pdf.to_dict("records")
-    return [{c: None if pd.isna(r[c]) else r[c] for c in _COLUMNS} | {"paper_id": r["paper_id"], "sources": set(r["sources"]), "first_seq": r["first_seq"]} for r in rows]
+#: Papers of an Arrow batch that is given back.
+BATCH = 2_000
 
 
-def _frame(papers: list[dict]) -> pd.DataFrame:
-    rows = [{**p, "year": None if p["year"] is None else int(p["year"]), "sources": sorted(p["sources"])} for p in papers]
-    return pd.DataFrame(rows, columns=["paper_id", *_COLUMNS, "sources", "first_seq"]).astype({"year": "Int64"})
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Papers of rows that stand together by component, papers before records and these by arrival."""
+    names = ["paper_id", *_COLUMNS, "sources", "first_seq"]
+    kinds = {"year": pa.int32(), "sources": pa.list_(pa.string()), "first_seq": pa.int64()}
+    give = lambda papers: pa.RecordBatch.from_arrays([pa.array([sorted(p[c]) if c == "sources" else p[c] for p in papers], kinds.get(c, pa.string())) for c in names], names=names)
+    ready: list[dict] = []
+    for _, group in groupby((r for batch in batches for r in batch.to_pylist()), key=itemgetter("component")):
+        rows = list(group)
+        ready += replay([_paper(r) for r in rows if r["seq"] is None], [_record(r) for r in rows if r["seq"] is not None])
+        if len(ready) >= BATCH:
+            yield give(ready)
+            ready = []
+    yield give(ready)
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Papers of one component, by replaying its records in arrival order."""
-    return _frame(replay([], _records(pdf)))
+def replayed(records: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Papers after ``records`` (component; seq and what ``with_ids`` gives) have come to ``held`` (component; papers), component by component.
+
+    Components are dealt to tasks by hash, and a task goes through its own in one pass, so that a component costs its rows.
+    """
+    workers_ready(records.sparkSession)
+    new = records.select("component", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("paper_id"), *_COLUMNS, "source", F.lit(None).cast("array<string>").alias("sources"), F.lit(None).cast("long").alias("first_seq"))
+    if held is not None:
+        old = held.select("component", F.lit(None).cast("long").alias("seq"), "paper_id", *_COLUMNS, F.lit(None).cast("string").alias("source"), "sources", "first_seq")
+        new = old.unionByName(new)
+    return new.repartition("component").sortWithinPartitions("component", F.col("seq").asc_nulls_first()).mapInArrow(_replayed, PAPER)
 
 
 def with_ids(records: DataFrame) -> DataFrame:
@@ -130,7 +151,7 @@ def merge_papers(records: DataFrame) -> DataFrame:
     """
     ids = with_ids(records)
     grouped = ids.join(components(ids, "seq", [c for c, _ in IDS]), "seq")
-    return grouped.groupBy("component").applyInPandas(_fold, PAPER)
+    return replayed(grouped)
 
 
 def link_once(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -69,3 +69,12 @@ def test_a_version_that_was_written_in_part_does_not_count(spark, tmp_path):
     library.merge(spark.createDataFrame([(2, "10.1/b", None, None, None, "u", None, None, None, "a")], SHAPE), 1)
     assert library.papers().count() == 2
     assert library.merge(first.limit(0), 2) == {"read": 0, "written": 0, "gone": 0}
+
+
+def test_a_component_costs_its_rows_and_not_a_call(spark, tmp_path):
+    """Components go through a task in one pass: neither a plan of the fold nor one of a batch has a group of pandas rows a component."""
+    frame = spark.createDataFrame([(k, f"10.1/{k // 2}", None, None, None, f"t{k}", None, None, None, "a") for k in range(5000)], SHAPE)
+    found = resolve.merge_papers(frame)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2500  # more than a batch that is given back
+    assert {r.title for r in found.collect()} == {f"t{k}" for k in range(0, 5000, 2)}
