@@ -169,3 +169,14 @@ def test_unlike_sets_of_common_tokens_hardly_meet(spark):
     met = {tuple(r) for r in held.join(held.withColumnRenamed("c", "d"), "signature").where("c < d").select("c", "d").distinct().collect()}
     assert {(k, 1000 + k) for k in range(20)} <= met
     assert len(met) < 0.01 * len(rows) * len(rows) / 2
+
+
+@pytest.mark.parametrize("least", [0.5, 0.85])
+def test_nearest_is_the_best_of_all_pairs(spark, least):
+    rng = random.Random(7)
+    some = lambda: " ".join(rng.sample([f"tok{k}" for k in range(14)], rng.randrange(0, 13)))
+    mine, theirs = [(k, some()) for k in range(40)] + [(90, None), (91, "a b")], [(some(),) for _ in range(40)] + [(None,)]
+    score = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    want = {k: max(score(toks(x), toks(y)) for (y,) in theirs) for k, x in mine}
+    got = evidence.nearest(spark.createDataFrame(mine, "k long, t string"), spark.createDataFrame(theirs, "u string"), "k", "t", "u", least)
+    assert {r.k: round(r.similarity, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items() if v > least}
