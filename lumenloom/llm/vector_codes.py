@@ -134,7 +134,8 @@ def compress(vectors: DataFrame, vector: str = "embedding", parts: int = PARTS,
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).select("x").collect()
     width = len(first[0]["x"]) if first else 0
     at = cuts(width, parts)
-    start = np.array([r["x"] for r in first if len(r["x"]) == width], np.int64).reshape(-1, width)
+    taken = [r["x"] for r in first if len(r["x"]) == width]
+    start = np.array(taken, np.int64).reshape(len(taken), width)  # also without rows
     books: Books = tuple(start[:, a:b] for a, b in zip(at, at[1:], strict=False))
 
     pieces = F.array(*[F.slice("x", a + 1, b - a) for a, b in zip(at, at[1:], strict=False)])
