@@ -81,6 +81,19 @@ def test_label_errors_join_null_labels(spark):
         assert {r.label_error for r in own} == {sum(r.error for r in own)}
 
 
+def test_huge_components_and_null_labels_as_doubles(spark):
+    """What two tests above ask of the code, with doubles all through: a column of doubles takes no integers."""
+    rows = [(0, [1e4] * 4, 0), (1, [-3e5, 2.5, 7e5, 1e6], 0), (2, [3e5, -1e6, 0.0, 1e6], 1), (3, [1.5e6, 0.0, 0.0, -1e5], 1)]
+    assert run(spark, rows, entries=2) == brute(rows, entries=2)
+    coded, _ = vector_codes.compress(frame(spark, [(0, [0.0] * 4, 0), (1, [1e300] * 4, 0)]), entries=1, rounds=0)
+    assert {r.error for r in coded.collect()} == {0, vector_codes.LARGEST}
+    coded, _ = vector_codes.compress(frame(spark, [(i, [i / 7.0, 0.0, 0.0, 1.0], None if i % 2 else 4) for i in range(9)]), entries=2)
+    got = vector_codes.with_label_error(coded).collect()
+    for label in (None, 4):
+        own = [r for r in got if r.label == label]
+        assert {r.label_error for r in own} == {sum(r.error for r in own)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(-(2**40), 2**40), min_size=3, max_size=3), min_size=1, max_size=6), st.integers(0, 2**40))
 def test_nearest_is_exact_at_any_size(points, shift):
