@@ -46,6 +46,35 @@ def test_similar_documents_of_many_copies_and_sizes(spark, least):
     assert evidence.similar_documents(spark.createDataFrame([], "k long, t string"), "k", "t", least).count() == 0
 
 
+def near_copies(n, size, apart):
+    """Rows of near copies of one text."""
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(size)]
+    return [(k, " ".join(base[:-apart] + [f"own{k}of{j}" for j in range(apart)])) for k in range(n)]
+
+
+def test_similar_documents_take_disk_for_sets_and_not_for_pairs(spark, tmp_path):
+    """Near copies all are links of each other, but what is shuffled follows the texts, and goes when its step is done."""
+    path, rows = str(tmp_path / "docs"), near_copies(90, 300, 4)
+    spark.createDataFrame(rows, "k long, t string").coalesce(2).write.parquet(path)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").count("shuffle_")
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before, files = spark.conf.get(setting), written(), kept()
+    got = evidence.similar_documents(spark.read.parquet(path), "k", "t", 0.85)
+    assert kept() <= files and spark.conf.get(setting) == was
+    assert similar(got, "k") == brute_similar(rows, 0.85)
+    assert written() - before < 4 * sum(len(t) for _, t in rows)
+
+
+def test_similar_documents_of_a_wide_neighbourhood_by_squares(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "BLOCK", 3)
+    rows = near_copies(25, 80, 4) + [(100 + k, f"one two three four five six seven eight {x}") for k, x in enumerate(("", "nine", "ten", "nine ten"))]
+    rows += [(200, " ".join(f"left{j}" for j in range(20))), (200, " ".join(f"right{j}" for j in range(20))), (201, " ".join(f"left{j}" for j in range(21))), (202, " ".join(f"right{j}" for j in range(19)))]
+    got = evidence.similar_documents(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.85)
+    assert similar(got, "k") == brute_similar(rows, 0.85)
+
+
 def test_similar_documents_of_the_whole_table(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in table(sf_dir, "documents")]
     got = evidence.similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", 0.3)
