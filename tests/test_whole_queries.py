@@ -69,6 +69,7 @@ def test_similar_documents_take_disk_for_sets_and_not_for_pairs(spark, tmp_path)
 
 def test_similar_documents_of_a_wide_neighbourhood_by_squares(spark, monkeypatch):
     monkeypatch.setattr(evidence, "BLOCK", 3)
+    monkeypatch.setattr(evidence, "SHIPPED", 40)  # in rounds
     rows = near_copies(25, 80, 4) + [(100 + k, f"one two three four five six seven eight {x}") for k, x in enumerate(("", "nine", "ten", "nine ten"))]
     rows += [(200, " ".join(f"left{j}" for j in range(20))), (200, " ".join(f"right{j}" for j in range(20))), (201, " ".join(f"left{j}" for j in range(21))), (202, " ".join(f"right{j}" for j in range(19)))]
     got = evidence.similar_documents(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.85)
